@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestrata.llm.bpe import encode_documents
 from lodestrata.llm.groups import match_groups
 from lodestrata.sources.tables import table
 
@@ -10,7 +11,11 @@ def p1_found(spark, folder):
     return match_groups(table(spark, folder, "node_matches"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
+def p8_ids(spark, folder):
+    return encode_documents(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids)}
 
 ORACLE = {
     "p1_found": r"""
