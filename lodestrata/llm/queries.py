@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lodestrata.llm.bpe import encode_documents
 from lodestrata.llm.groups import match_groups
+from lodestrata.llm.packing import pack_documents
+from lodestrata.llm.sentences import split_sentences
 from lodestrata.sources.tables import table
 
 
@@ -15,7 +17,15 @@ def p8_ids(spark, folder):
     return encode_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids)}
+def p9_packed(spark, folder):
+    return pack_documents(table(spark, folder, "documents"), table(spark, folder, "context_windows"))
+
+
+def p10_found(spark, folder):
+    return split_sentences(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_packed, p10_found)}
 
 ORACLE = {
     "p1_found": r"""
