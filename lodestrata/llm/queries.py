@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestrata.llm.bpe import encode_documents
 from lodestrata.llm.groups import match_groups
+from lodestrata.llm.near_duplicates import similar_groups, similar_pairs
 from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.sentences import split_sentences
 from lodestrata.sources.tables import table
@@ -13,6 +14,15 @@ def p1_found(spark, folder):
     return match_groups(table(spark, folder, "node_matches"))
 
 
+def p7_found(spark, folder):
+    return similar_pairs(table(spark, folder, "raw_information"), table(spark, folder, "dedup_checks"))
+
+
+def p7_groups(spark, folder):
+    """Class, group and number of links of every record."""
+    return similar_groups(table(spark, folder, "raw_information"), table(spark, folder, "dedup_checks"))
+
+
 def p8_ids(spark, folder):
     return encode_documents(table(spark, folder, "documents"))
 
@@ -25,7 +35,7 @@ def p10_found(spark, folder):
     return split_sentences(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_packed, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_groups, p8_ids, p9_packed, p10_found)}
 
 ORACLE = {
     "p1_found": r"""
