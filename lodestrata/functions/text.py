@@ -47,7 +47,10 @@ def term_position(c: Column, term: str) -> Column:
     low = term.lower()
     if not low.isascii():
         return F.coalesce(F.instr(F.lower(c), low), F.lit(0)) - 1
-    return F.coalesce(F.regexp_instr(F.lower(c), F.lit(rf"(?<![a-zA-Z0-9])\Q{low}\E(?![a-zA-Z0-9])")), F.lit(0)) - 1
+    border = rf"(?<![a-zA-Z0-9])\Q{low}\E(?![a-zA-Z0-9])"
+    # the length of what lies before counts characters; positions of regular expressions count UTF-16 units
+    before = F.length(F.regexp_extract(F.lower(c), rf"(?s)^(.*?){border}", 1))
+    return F.when(F.lower(c).rlike(border), before).otherwise(-1)
 
 
 def is_ticker(c: Column) -> Column:

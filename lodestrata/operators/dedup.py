@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions.text import content_hash, levenshtein_ratio, normalized_name
 from lodestrata.operators.components import both_ways, minimum_labels
@@ -111,7 +114,7 @@ def same_key_pairs(rows: DataFrame, key, id_: str = "id") -> DataFrame:
 
 def sequence_ratio(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
     """Pairs with their matching-blocks ratio; JVM functions cannot express it, so it runs in Arrow batches."""
-    schema = pairs.schema.add("ratio", "double")
+    schema = T.StructType([*pairs.schema, T.StructField("ratio", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,11 +124,34 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
     return pairs.mapInPandas(run, schema).where(F.col("ratio") >= least)
 
 
+def vector_links(vectors: DataFrame, least: float, key: str, vector: str, block: str, rows_per_block: int = 2000) -> DataFrame:
+    """``(a, b)``: vectors of one block at a cosine similarity, exact.
+
+    The rows are cut into parts; each pair of parts is one task's matrix product,
+    and only the links leave it.  Rows are never joined pair by pair.
+    """
+    unit = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(block).cast("string").alias("blk"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    parts = max(1, -(-unit.count() // rows_per_block))
+    placed = unit.withColumn("p", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    placed = placed.select("k", "blk", "v", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+
+    def links(table: pa.Table) -> pa.Table:
+        k, blk, part = (table[c].to_numpy() for c in ("k", "blk", "p"))
+        v = np.array(table["v"].to_pylist(), np.float64)
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        v = v / np.where(norm > 0, norm, 1)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        _, codes = np.unique(blk.astype(str), return_inverse=True)
+        near = (np.round(v[x] @ v[y].T, 9) >= least) & (codes[x][:, None] == codes[y][None, :]) & (k[x][:, None] != k[y][None, :])
+        r, c = np.nonzero(near)
+        a, b = k[x[r]], k[y[c]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return placed.groupBy("i", "j").applyInArrow(links, f"a {kind}, b {kind}").distinct()
+
+
 def vector_clusters(vectors: DataFrame, least: float = 0.78, key: str = "vec_id", vector: str = "embedding", block: str = "label") -> DataFrame:
     """``(node, label)``: single-linkage groups of vectors of one block at a cosine similarity."""
-    from lodestrata.functions.scoring import dot, l2_normalize
-
-    unit = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(block).alias("blk"), l2_normalize(F.col(vector)).alias("v"))
-    a, b = unit.withColumnsRenamed({"k": "a", "v": "va"}), unit.withColumnsRenamed({"k": "b", "v": "vb"})
-    pairs = a.join(b, "blk").where("a < b").withColumn("s", F.round(dot(F.col("va"), F.col("vb")), 9)).where(F.col("s") >= least)
-    return pair_groups(pairs.select("a", "b"))
+    return pair_groups(vector_links(vectors, least, key, vector, block))

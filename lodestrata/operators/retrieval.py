@@ -24,6 +24,10 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
 def bm25(documents: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", least_match: float = 0.0) -> DataFrame:
     """``key, matched, score`` of the documents with at least one query term.
 
@@ -33,12 +37,13 @@ def bm25(documents: DataFrame, terms: list[str], key: str = "doc_id", text: str
     share of the terms that have to occur (rounded down, at least one).  Documents
     with null or empty text count for the statistics and never match.
     """
-    tokens = documents.select(F.col(key), analyze(F.col(text)).alias("t"))
-    counts = [F.size(F.filter("t", lambda x, w=w: x == w)) for w in terms]
-    sums = [F.sum((c > 0).cast("long")).alias(f"df{i}") for i, c in enumerate(counts)]
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("len"), *sums).first()
+    found = F.filter("t", lambda x: x.isin(*terms)) if terms else F.array().cast("array<string>")
+    tokens = documents.select(F.col(key), analyze(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), found.alias("m"))
+    counts = [F.size(F.filter("m", _equals(w))) for w in terms]
+    sums = [F.sum(F.array_contains("m", w).cast("long")).alias(f"df{i}") for i, w in enumerate(terms)]
+    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("len"), *sums).first()
     n, average = stats["n"], (stats["len"] or 0) / max(1, stats["n"])
-    norm = K1 * (1 - B + B * F.size("t") / F.lit(float(average or 1)))
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(average or 1)))
     parts = []
     for i, c in enumerate(counts):
         df = stats[f"df{i}"] or 0
@@ -51,13 +56,11 @@ def bm25(documents: DataFrame, terms: list[str], key: str = "doc_id", text: str
 
 
 def phrase_hits(documents: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n``: how often the terms follow each other, by positions within each document."""
-    tokens = documents.select(F.col(key), analyze(F.col(text)).alias("t"))
-    width = len(terms)
-    phrase = F.array(*[F.lit(t) for t in terms])
-    starts = F.sequence(F.lit(1), F.size("t") - width + 1)
-    n = F.when(F.size("t") >= width, F.size(F.filter(starts, lambda i: F.slice("t", i, width) == phrase))).otherwise(0)
-    return tokens.select(key, n.alias("n")).where("n > 0")
+    """``key, n``: how often the terms follow each other within each document."""
+    tokens = documents.select(F.col(key), F.concat(F.lit(" "), F.array_join(analyze(F.col(text)), " "), F.lit(" ")).alias("t"))
+    rest = " ".join(terms[1:])
+    pattern = f" {terms[0]}(?= {rest} )" if rest else f" {terms[0]}(?= )"  # terms are words of letters and digits
+    return tokens.select(key, F.regexp_count("t", F.lit(pattern)).alias("n")).where("n > 0")
 
 
 def top_k(rows: DataFrame, k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
