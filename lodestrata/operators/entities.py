@@ -56,7 +56,7 @@ def match_entities(documents: DataFrame, terms: DataFrame, key: str, text: str)
     candidates = postings.join(rare, "x").select(key, "entity", "kind", "term").distinct()
     checked = candidates.join(docs, key).withColumn("_p", term_pattern(F.col("term")))
     n = F.regexp_count("_low", F.col("_p"))
-    first = F.length(F.regexp_extract("_low", F.concat(F.lit("(?s)^(.*?)"), F.col("_p")), 1))
+    first = F.length(F.call_function("regexp_extract", F.col("_low"), F.concat(F.lit("(?s)^(.*?)"), F.col("_p")), F.lit(1)))
     found = checked.select(key, "entity", "kind", "term", n.alias("occurrences"), first.alias("position")).where("occurrences > 0")
     longest = Window.partitionBy(key, "entity", "kind", "position").orderBy(F.desc(F.length("term")), "term")
     return found.withColumn("_r", F.row_number().over(longest)).where("_r = 1").drop("_r")

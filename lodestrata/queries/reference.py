@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scoring as sc
 from lodestrata.functions import text as tx
-from lodestrata.operators import audit, dedup, graph, retrieval, temporal
+from lodestrata.operators import audit, dedup, entities, graph, retrieval, temporal
 from lodestrata.operators.hierarchy import normal_type
 from lodestrata.sources.tables import table
 
@@ -572,35 +572,54 @@ def nation_revenue(spark, folder):
 
 
 # ---- entities
-def _occurrences(spark, folder):
-    from lodestrata.operators import entities as en
+def _drivers(spark, folder):
+    """Dictionary of the drivers named in states, as commodities."""
+    states = table(spark, folder, "node_states").select(F.explode("primary_drivers").alias("d"))
+    return states.select(F.col("d.driver").alias("name"), F.lit("commodity").alias("node_type"), F.array().cast("array<string>").alias("aliases")).where("name is not null").distinct()
+
 
-    terms = en.dictionary_terms(table(spark, folder, "world_nodes").where("node_type in ('company', 'sector', 'concept', 'region', 'currency')"))
+def _occurrences(spark, folder):
+    nodes = table(spark, folder, "world_nodes").where("node_type in ('company', 'sector', 'concept', 'region', 'currency')").select("name", "node_type", "aliases")
+    terms = entities.dictionary_terms(nodes.unionByName(_drivers(spark, folder)))
     records = table(spark, folder, "raw_information").select("id", F.concat_ws(" ", "title", "body").alias("text"), "title")
-    return en.entity_occurrences(en.match_entities(records, terms, "id", "text"), "id"), records
+    return entities.entity_occurrences(entities.match_entities(records, terms, "id", "text"), "id"), records
 
 
-@query()
+_FOUND = """terms AS (SELECT DISTINCT lower(d.driver) AS term, d.driver AS entity FROM (SELECT unnest(primary_drivers) AS d FROM node_states) WHERE length(d.driver) >= 2),
+docs AS (SELECT id, lower(regexp_replace(concat_ws(' ', title, body), '\\s+', ' ', 'g')) AS t FROM raw_information),
+found AS (SELECT id, entity, 'commodity' AS kind, len(regexp_extract_all(' ' || replace(t, ' ', '  ') || ' ', '[^a-z0-9]' || replace(term, ' ', '  ') || '[^a-z0-9]')) AS occurrences,
+  length(split_part(t, term, 1)) AS first_position FROM docs JOIN terms ON contains(t, term))"""
+
+
+@query(f"WITH {_FOUND} SELECT id, entity, kind, CAST(occurrences AS BIGINT) AS occurrences, CAST(first_position AS INT) AS first_position FROM found WHERE occurrences > 0")
 def entity_match(spark, folder):
-    return _occurrences(spark, folder)[0]
+    records = table(spark, folder, "raw_information").select("id", F.concat_ws(" ", "title", "body").alias("text"))
+    return entities.entity_occurrences(entities.match_entities(records, entities.dictionary_terms(_drivers(spark, folder)), "id", "text"), "id")
 
 
-@query()
+@query("""WITH src AS (SELECT id, unnest([info_type]) AS k FROM raw_information), n AS (SELECT count(*) AS n FROM raw_information)
+SELECT k AS entity, count(DISTINCT id) AS df, round(ln((n + 1) / (1 + count(DISTINCT id))) / ln(n + 1), 6) AS idf FROM src, n GROUP BY k, n""")
 def entity_idf(spark, folder):
-    from lodestrata.operators import entities as en
-
-    found, records = _occurrences(spark, folder)
-    return en.inverse_frequencies(found, records, "id")
+    """Rarity of the record types taken as concepts."""
+    records = table(spark, folder, "raw_information")
+    as_entities = records.select("id", F.col("info_type").alias("entity"), F.lit("concept").alias("kind"))
+    return entities.inverse_frequencies(as_entities, records, "id")
 
 
 @query()
 def entity_score(spark, folder):
     """Scored entities of every record, cut at the first gap."""
-    from lodestrata.operators import entities as en
-
     found, records = _occurrences(spark, folder)
     lengths = records.select("id", F.length("text").alias("length"), "title")
-    return en.cut_at_gap(en.score_entities(found, lengths, en.inverse_frequencies(found, records, "id"), "id"), "id")
+    return entities.cut_at_gap(entities.score_entities(found, lengths, entities.inverse_frequencies(found, records, "id"), "id"), "id")
+
+
+@query("""WITH r AS (SELECT id, name, node_type, ticker, aliases FROM world_nodes)
+SELECT id, name, node_type, CASE WHEN lower(trim(ticker)) = 'chemicals' THEN 1.2 WHEN lower(trim(name)) = 'chemicals' THEN 1.0 WHEN list_contains(list_transform(coalesce(aliases, []), lambda a: lower(trim(a))), 'chemicals') THEN 0.95
+ WHEN starts_with(lower(trim(name)), 'chemicals') THEN 0.8 WHEN len(list_filter(coalesce(aliases, []), lambda a: contains(lower(trim(a)), 'chemicals'))) > 0 THEN 0.7 WHEN contains(lower(trim(name)), 'chemicals') THEN 0.5 END AS score
+FROM r WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 50""")
+def entity_resolve(spark, folder):
+    return entities.resolve_names(table(spark, folder, "world_nodes"), ["chemicals"])
 
 
 @query("""SELECT window_start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2)""")
