@@ -89,9 +89,10 @@ def strip_connectors(c: Column) -> Column:
 
 def character_pairs(c: Column) -> Column:
     """The distinct pairs of neighbouring characters; a shorter text is its own only element."""
-    n = F.length(c)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    return F.when(n < 2, F.array(c)).otherwise(F.array_distinct(pairs))
+    # no lambda may hold c: it would be computed again for every pair
+    signs = F.regexp_extract_all(c, F.lit("(?s)."), 0)
+    pairs = F.zip_with(F.slice(signs, 1, F.greatest(F.size(signs) - 1, F.lit(0))), F.slice(signs, 2, F.greatest(F.size(signs) - 1, F.lit(0))), lambda x, y: F.concat(x, y))
+    return F.when(F.length(c) < 2, F.array(c)).otherwise(F.array_distinct(pairs))
 
 
 def jaccard(a: Column, b: Column) -> Column:

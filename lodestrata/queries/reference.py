@@ -9,6 +9,7 @@ from lodestrata.functions import scoring as sc
 from lodestrata.functions import text as tx
 from lodestrata.operators import audit, dedup, entities, graph, retrieval, temporal
 from lodestrata.operators.hierarchy import normal_type
+from lodestrata.plans import search as search_plans
 from lodestrata.sources.tables import table
 
 AS_OF = "2018-01-15 00:00:00"
@@ -628,3 +629,23 @@ def windowed_events(spark, folder):
 
     counts = windowed_counts(table(spark, folder, "events"), "ts", ["event_type"])
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+def _search(spark, folder, text, **options):
+    plan = search_plans.plan_query(spark, text, **options)
+    return search_plans.search(table(spark, folder, "raw_information"), table(spark, folder, "world_nodes"), plan, AS_OF)
+
+
+@query()
+def search_hybrid(spark, folder):
+    return _search(spark, folder, "copper cathode freight contracts analysis")
+
+
+@query()
+def search_bm25(spark, folder):
+    return _search(spark, folder, "最新 运力合约 公告", mode="bm25")
+
+
+@query()
+def search_nodes(spark, folder):
+    return _search(spark, folder, "chemicals", only=("nodes",))
