@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.scoring import cosine, min_max, time_score
 from lodestrata.functions.text import analyze, character_pairs, jaccard, term_position, word_match
+from lodestrata.session import Workspace
 
 K1, B = 1.2, 0.75
 
@@ -24,6 +25,27 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+_HAN = "[\\u4e00-\\u9fff]"
+#: What :func:`lodestrata.functions.text.analyze` makes of a text, as one pattern: words, pairs, signs that stand alone.
+_TERM = f"[a-z0-9]+|{_HAN}(?={_HAN})|(?<!{_HAN}){_HAN}(?!{_HAN})"
+
+
+def _term_counts(documents: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
+    """``key, dl, c0, c1, ...``: length in index terms and count of each query term, by patterns instead of term arrays."""
+    words = [t for t in terms if t.isascii()]
+    low = documents.select(F.col(key), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    some = f"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])" if words else "(?!)"
+    found = low.select(key, "low", F.regexp_count("low", F.lit(_TERM)).alias("dl"), F.regexp_extract_all("low", F.lit(some), 0).alias("m"))
+
+    def count(term: str):
+        if term.isascii():
+            return F.size(F.filter("m", _equals(term)))
+        alone = f"(?<!{_HAN}){term}(?!{_HAN})" if len(term) == 1 else f"(?={term})"
+        return F.when(F.col("low").contains(term), F.regexp_count("low", F.lit(alone))).otherwise(0)
+
+    return found.select(key, "dl", *[count(t).alias(f"c{i}") for i, t in enumerate(terms)])
+
+
 def _equals(term: str):
     return lambda x: x == term
 
@@ -31,17 +53,16 @@ def _equals(term: str):
 def bm25(documents: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", least_match: float = 0.0) -> DataFrame:
     """``key, matched, score`` of the documents with at least one query term.
 
-    Two scans without a shuffle of documents: the first collects the corpus
-    statistics, one row whose width is the number of query terms; the second counts
-    the terms within each document and scores it in place.  ``least_match`` is the
+    One scan of the texts without a shuffle counts the terms within each document;
+    corpus statistics, one row whose width is the number of query terms, and scores
+    come from the written counts.  ``least_match`` is the
     share of the terms that have to occur (rounded down, at least one).  Documents
     with null or empty text count for the statistics and never match.
     """
-    found = F.filter("t", lambda x: x.isin(*terms)) if terms else F.array().cast("array<string>")
-    tokens = documents.select(F.col(key), analyze(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), found.alias("m"))
-    counts = [F.size(F.filter("m", _equals(w))) for w in terms]
-    sums = [F.sum(F.array_contains("m", w).cast("long")).alias(f"df{i}") for i, w in enumerate(terms)]
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("len"), *sums).first()
+    counted = Workspace(documents.sparkSession, "bm25").save(_term_counts(documents, terms, key, text), "counts")
+    counts = [F.col(f"c{i}") for i in range(len(terms))]
+    sums = [F.sum((c > 0).cast("long")).alias(f"df{i}") for i, c in enumerate(counts)]
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("len"), *sums).first()
     n, average = stats["n"], (stats["len"] or 0) / max(1, stats["n"])
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(average or 1)))
     parts = []
@@ -52,7 +73,7 @@ def bm25(documents: DataFrame, terms: list[str], key: str = "doc_id", text: str
     matched = sum(((c > 0).cast("int") for c in counts), F.lit(0))
     least = max(1, math.floor(least_match * len(terms)))
     score = sum(parts, F.lit(0.0))
-    return tokens.select(key, matched.alias("matched"), F.round(score, 6).alias("score")).where(F.col("matched") >= least)
+    return counted.select(key, matched.alias("matched"), F.round(score, 6).alias("score")).where(F.col("matched") >= least)
 
 
 def phrase_hits(documents: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:

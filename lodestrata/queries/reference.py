@@ -589,7 +589,7 @@ def _occurrences(spark, folder):
 _FOUND = """terms AS (SELECT DISTINCT lower(d.driver) AS term, d.driver AS entity FROM (SELECT unnest(primary_drivers) AS d FROM node_states) WHERE length(d.driver) >= 2),
 docs AS (SELECT id, lower(regexp_replace(concat_ws(' ', title, body), '\\s+', ' ', 'g')) AS t FROM raw_information),
 found AS (SELECT id, entity, 'commodity' AS kind, len(regexp_extract_all(' ' || replace(t, ' ', '  ') || ' ', '[^a-z0-9]' || replace(term, ' ', '  ') || '[^a-z0-9]')) AS occurrences,
-  length(split_part(t, term, 1)) AS first_position FROM docs JOIN terms ON contains(t, term))"""
+  length(regexp_extract(t, '(?s)^(.*?(?:^|[^a-z0-9]))' || term || '(?:[^a-z0-9]|$)', 1)) AS first_position FROM docs JOIN terms ON contains(t, term))"""
 
 
 @query(f"WITH {_FOUND} SELECT id, entity, kind, CAST(occurrences AS BIGINT) AS occurrences, CAST(first_position AS INT) AS first_position FROM found WHERE occurrences > 0")
