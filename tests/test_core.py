@@ -254,6 +254,7 @@ def test_readers_and_sinks(spark, tmp_path):
 
 def test_entities_and_plan(spark):
     from lodestrata.operators import entities as en
+    from lodestrata.plans.lexicon import BASE
     from lodestrata.plans.search import channel_weights, plan_query
 
     d = spark.createDataFrame([("Oil", "commodity", ["crude oil"]), ("美元", "currency", None)], "name string, node_type string, aliases array<string>")
@@ -261,7 +262,7 @@ def test_entities_and_plan(spark):
     got = {(r.id, r.entity): r.occurrences for r in en.entity_occurrences(en.match_entities(t, en.dictionary_terms(d), "id", "text"), "id").collect()}
     assert got[1, "Oil"] >= 2 and (2, "美元") in got and (3, "美元") not in got
     plan = plan_query(spark, "最新 公告 铜")
-    assert plan.intent == "news" and plan.days == 30 and abs(sum(plan.weights.values()) - 5.07) < 1e-4
+    assert plan.intent == "news" and plan.days == 30 and abs(sum(plan.weights.values()) - sum(BASE.values())) < 1e-4
     assert channel_weights("600519.SH", "entity_lookup", 0.95, {}, True, False)["name"] > 2.5
 
 
