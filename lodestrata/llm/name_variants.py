@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ SHARD = 4000
 EXPAND = 1000
 #: Two edits are allowed for cores of this length if one of the spellings occurs in one record only.
 LONG = 8
+#: Letters of a brief form (a surname, or a core without line of business) that may have an edit.
+BRIEF = 5
 
 
 class Trie:
@@ -97,6 +100,20 @@ def same_entity(kind: str, a: tuple, b: tuple, edits: int) -> bool:
     return not clash and min(nx, ny) == 1 and min(len(x), len(y)) >= LONG and ord(x[-1]) < 0x3400
 
 
+def same_brief(kind: str, a: tuple, b: tuple, edits: int) -> bool:
+    """The check of two brief forms of which one is weak.
+
+    No line of business or given name supports the link, so short parts are taken
+    only as they are, and the initials of persons must agree.
+    """
+    x, y = a[0], b[0]
+    if kind == "p" and x.partition(" ")[0] != y.partition(" ")[0]:
+        return False
+    if ord(x[-1]) < 0x3400 and min(len(x.rpartition(" ")[2]), len(y.rpartition(" ")[2])) < BRIEF:
+        return False
+    return same_entity(kind, a, b, edits)
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "kind", "cls", "core", "legal", "weak", "ticker"]
     for batch in batches:
@@ -127,27 +144,43 @@ def _join_shard(rows: list[tuple], out: list) -> None:
     known: dict[str, tuple] = {r[3]: r for r in rows}
     trie = Trie(list(known))
     for _, kind, hub, core, n, legal, tickers in rows:
-        most = 2 if len(core) >= LONG - 1 and ord(core[-1]) < 0x3400 else 1
-        for other, edits in trie.within(core, most):
+        for other, edits in trie.within(core, _most(core)):
             if other > core:
                 _, _, hub2, _, n2, legal2, tickers2 = known[other]
                 if same_entity(kind, (core, n, legal, tickers), (other, n2, legal2, tickers2), edits):
                     out.append((hub, hub2))
 
 
-def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_brief_shard(rows: list[tuple], out: list) -> None:
+    """Pairs of close brief forms, at least one of them weak; ``hub`` tells ``w`` for weak."""
+    known: dict[str, tuple] = {r[3]: r for r in rows}
+    if len(known) < 2 or all(r[2] != "w" for r in rows):
+        return
+    trie = Trie(list(known))
+    for _, kind, state, core, n, _, tickers in rows:
+        if state == "w":
+            for other, edits in trie.within(core, _most(core)):
+                if other != core and same_brief(kind, (core, n, [], tickers), (other, known[other][4], [], known[other][6]), edits):
+                    out += [(kind + core, kind + other), (kind + other, kind + core)]
+
+
+def _most(core: str) -> int:
+    return 2 if len(core) >= LONG - 1 and ord(core[-1]) < 0x3400 else 1
+
+
+def _join_tries(batches: Iterator[pa.RecordBatch], join=_join_shard) -> Iterator[pa.RecordBatch]:
     """Self-join of each shard; rows come sorted by shard."""
     rows: list[tuple] = []
     for batch in batches:
         out: list[tuple] = []
         for row in zip(*(batch[c].to_pylist() for c in ("shard", "kind", "hub", "core", "n", "legal", "tickers"))):
             if rows and rows[-1][0] != row[0]:
-                _join_shard(rows, out)
+                join(rows, out)
                 rows = []
             rows.append(row)
         yield _links(out)
     out = []
-    _join_shard(rows, out)
+    join(rows, out)
     yield _links(out)
 
 
@@ -167,6 +200,14 @@ def _blocks(ws: Workspace, spread: DataFrame) -> DataFrame:
     return wide.withColumn("shard", F.when(F.col("_k") > 1, cut).otherwise(F.col("shard"))).drop("_k", "_b", "_o")
 
 
+def _close(ws: Workspace, spellings: DataFrame, join) -> DataFrame:
+    """``(src, dst)`` links that ``join`` finds among spellings in the same shard."""
+    shape = "shard string, kind string, cls string, core string, hub string, n long, legal array<string>, tickers array<string>"
+    spread = ws.save(spellings.mapInArrow(_spread, shape), "spread")
+    placed = _blocks(ws, spread).repartition("shard").sortWithinPartitions("shard")
+    return placed.mapInArrow(join, "src string, dst string")
+
+
 def entity_groups(nodes: DataFrame) -> DataFrame:
     """``(node, label)`` for every record that has a variant: label is the smallest id of its entity.
 
@@ -174,7 +215,8 @@ def entity_groups(nodes: DataFrame) -> DataFrame:
     equal form, or an equal ticker, are linked through the smallest id among them;
     different spellings are linked by the trie join.  A weak form (no line of
     business, or initials for given names) is used only if the record has no other,
-    and only if the records it fits are of one entity.  Linked records form entities.
+    and only if the records it fits, by an equal form or else by a close one, are of
+    one entity.  Linked records form entities.
 
     Only rows of the types company, institution and person count; null or blank
     names, and aliases that are null, empty or repeated, give no form; rows with
@@ -191,30 +233,61 @@ def entity_groups(nodes: DataFrame) -> DataFrame:
     spellings = ws.save(strong.groupBy(*key).agg(F.min("id").alias("hub"), F.countDistinct("id").alias("n"), legal, F.collect_set("ticker").alias("tickers")), "spellings")
     equal = strong.join(spellings.where("n > 1").select(*key, "hub"), key).select(F.col("hub").alias("src"), F.col("id").alias("dst"))
 
-    shape = "shard string, kind string, cls string, core string, hub string, n long, legal array<string>, tickers array<string>"
-    spread = spellings.where("kind <> 't'").select("kind", "cls", "core", "hub", "n", "legal", "tickers").mapInArrow(_spread, shape)
-    spread = ws.save(spread, "spread")
-    placed = _blocks(ws, spread).repartition("shard").sortWithinPartitions("shard")
-    close = placed.mapInArrow(_join_tries, "src string, dst string")
+    spread = spellings.where("kind <> 't'").select("kind", "cls", "core", "hub", "n", "legal", "tickers")
+    close = _close(ws, spread, _join_tries)
     links = ws.save(equal.unionByName(close).distinct(), "links")
     labels = minimum_labels(ws, ws.save(both_ways(links), "arcs"))
     return _attach_weak(ws, found, labels)
 
 
 def _attach_weak(ws: Workspace, found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add the records that have weak forms only, where these fit one entity."""
-    entity = found.join(labels, F.col("id") == F.col("node"), "left").select("id", "kind", "cls", "core", "legal", "weak", F.coalesce("label", "id").alias("label"))
+    """Add the records that have weak forms only, where these fit one entity.
+
+    Weak records with equal brief form and equal legal form or second initial are one
+    unit.  A unit goes to the entity whose strong forms have the same brief form, or,
+    if there is none, one that the tries find close to it.  Units are linked with
+    units of an equal or close form whose legal form or second initial does not
+    contradict.  A unit is left alone if what it fits is of several entities, or of
+    several legal forms.
+    """
+    entity = found.join(labels, F.col("id") == F.col("node"), "left").where("kind <> 't'").select("id", "kind", "core", "legal", "weak", "ticker", F.coalesce("label", "id").alias("label"))
     surname = F.substring_index("core", " ", -1)
-    reduced = F.when(F.col("kind") == "p", F.concat_ws(" ", F.substring("core", 1, 1), surname)).otherwise(F.col("core"))
-    whole = entity.where("not weak and kind <> 't'").select("kind", reduced.alias("brief"), "legal", "label")
-    weak = entity.where("weak").select(F.col("id").alias("w"), "kind", F.col("core").alias("brief"), F.col("legal").alias("mid"))
+    reduced = F.when((F.col("kind") == "p") & ~F.col("weak"), F.concat_ws(" ", F.substring("core", 1, 1), surname)).otherwise(F.col("core"))
+    entity = ws.save(entity.withColumn("brief", reduced), "briefs")
+    whole = entity.where("not weak").select("kind", "brief", "legal", "label").distinct()
+    weak = entity.where("weak").select(F.col("id").alias("w"), "kind", "brief", F.col("legal").alias("mid"))
+    unit = ["kind", "brief", "mid"]
+    # weak records of one unit meet through its smallest id
+    units = ws.save(weak.groupBy(*unit).agg(F.min("w").alias("hub")), "units")
+
+    state = F.when(F.max("weak"), "w").otherwise("s").alias("hub")
+    briefs = entity.groupBy("kind", F.lit("").alias("cls"), F.col("brief").alias("core")).agg(state, F.countDistinct("id").alias("n"), F.array().cast("array<string>").alias("legal"), F.collect_set("ticker").alias("tickers"))
+    pairs = _close(ws, briefs.select("kind", "cls", "core", "hub", "n", "legal", "tickers"), partial(_join_tries, join=_join_brief_shard))
+    near = ws.save(pairs.select(F.substring("src", 1, 1).alias("kind"), F.expr("substring(src, 2)").alias("brief"), F.expr("substring(dst, 2)").alias("other")).distinct(), "near")
+
     fits = F.col("kind").eqNullSafe("o") | (F.col("mid") == "") | (F.col("legal") == "") | (F.col("mid") == F.col("legal"))
-    # weak records with one brief form are one group: they meet through its smallest id
-    hubs = weak.groupBy("kind", "brief", "mid").agg(F.min("w").alias("hub"))
-    one = hubs.join(whole, ["kind", "brief"]).where(fits).groupBy("kind", "brief", "mid", "hub").agg(F.min("label").alias("label"), F.max("label").alias("most"))
-    fitted = one.where("label = most").select("kind", "brief", "mid", "label")
-    placed = weak.join(hubs, ["kind", "brief", "mid"]).join(fitted, ["kind", "brief", "mid"], "left").select("w", F.coalesce("label", "hub").alias("label"))
-    arcs = both_ways(placed.select(F.col("w").alias("src"), F.col("label").alias("dst")).unionByName(labels.select(F.col("node").alias("src"), F.col("label").alias("dst"))))
+    agrees = lambda other: (F.col("mid") == "") | (F.col(other) == "") | (F.col("mid") == F.col(other))
+    span = (F.min("label").alias("label"), F.max("label").alias("most"))
+    equal = ws.save(units.join(whole, ["kind", "brief"]).where(fits).groupBy(*unit).agg(*span), "equal")
+    rest = units.join(equal, unit, "left_anti").join(near, ["kind", "brief"])
+    close = rest.join(whole.withColumnRenamed("brief", "other"), ["kind", "other"]).where(agrees("legal")).groupBy(*unit).agg(*span)
+    fitted = equal.unionByName(close)
+    units = ws.save(units.join(fitted, unit, "left").select(*unit, "hub", "label", F.coalesce(F.col("label") != F.col("most"), F.lit(False)).alias("torn")), "fitted")
+
+    # links between units: equal or close forms whose legal forms or second initials agree
+    far = near.unionByName(units.select("kind", "brief", F.col("brief").alias("other")).distinct())
+    second = units.select("kind", F.col("brief").alias("other"), F.col("mid").alias("mid2"), F.col("hub").alias("hub2"), F.col("label").alias("label2"), F.col("torn").alias("torn2"))
+    met = units.join(far, ["kind", "brief"]).join(second, ["kind", "other"]).where(agrees("mid2"))
+    met = ws.save(met.select("kind", "brief", "mid", "hub", "torn", "hub2", "mid2", "label2", "torn2"), "met")
+    mids = F.when(F.col("mid2") != "", F.col("mid2"))
+    bounds = [F.min("label2").alias("l1"), F.max("label2").alias("l2"), F.min(mids).alias("m1"), F.max(mids).alias("m2"), F.max("torn").alias("t")]
+    clear = met.groupBy("hub").agg(F.max("torn").alias("own"), *bounds).where("not own and not t and (l1 is null or l1 = l2) and (m1 is null or m1 = m2)").select("hub")
+    clear = ws.save(clear, "clear")
+    linked = met.where("hub < hub2").join(clear, "hub", "left_semi").join(clear.withColumnRenamed("hub", "hub2"), "hub2", "left_semi").select(F.col("hub").alias("src"), F.col("hub2").alias("dst"))
+
+    kept = units.select(*unit, F.when(~F.col("torn"), F.col("label")).alias("label"), "hub")
+    placed = weak.join(kept, unit).select(F.col("w").alias("src"), F.explode(F.array_compact(F.array("label", "hub"))).alias("dst"))
+    arcs = both_ways(placed.unionByName(linked).unionByName(labels.select(F.col("node").alias("src"), F.col("label").alias("dst"))))
     return minimum_labels(ws, ws.save(arcs, "all"))
 
 
