@@ -20,6 +20,8 @@ SHARD = 4000
 EXPAND = 1000
 #: Two edits are allowed for cores of this length if one of the spellings occurs in one record only.
 LONG = 8
+#: Parts of up to this many letters meet by what one letter less leaves.
+SHORT = 4
 #: Letters of a brief form (a surname, or a core without line of business) that may have an edit.
 BRIEF = 5
 
@@ -64,13 +66,20 @@ def shards(kind: str, cls: str, core: str) -> list[str]:
     """Tries a name goes into: those of its first and of its last letters.
 
     One edit leaves the first or the last letters alone, so two names one edit apart
-    meet.  Persons go by surname; a class is part of the shard, since firms of
-    another line of business are others.
+    meet.  Of parts of up to four letters it may leave neither (kim and kym, chen and
+    cehn); they also go by what is left when one letter is taken out, which any two of
+    them one edit apart share, and which takes few names together.  Persons go by
+    surname, short ones with the given name, as that has no edit if the surname has
+    one; a class is part of the shard, since firms of another line of business are
+    others.  Chinese cores of up to three signs take no replaced or swapped sign, so
+    their ends suffice.
     """
-    part = core.rpartition(" ")[2]
+    given, _, part = core.rpartition(" ")
     wide = ord(part[0]) >= 0x3400
     sizes = ([1] if len(part) <= 5 else []) + ([2] if len(part) >= 5 else []) if wide else ([2] if len(part) <= 7 else []) + ([3] if len(part) >= 6 else [])
-    return list(dict.fromkeys(f"{kind}|{cls}|{where}{n}|{piece}" for n in sizes for where, piece in (("<", part[:n]), (">", part[-n:]))))
+    ends = [f"{kind}|{cls}|{where}{n}|{piece}" for n in sizes for where, piece in (("<", part[:n]), (">", part[-n:]))]
+    less = [part, *(part[:i] + part[i + 1 :] for i in range(len(part)))] if len(part) <= SHORT and not wide else []
+    return list(dict.fromkeys(ends + [f"{kind}|{cls}|-|{given}|{piece}" for piece in less]))
 
 
 def same_entity(kind: str, a: tuple, b: tuple, edits: int) -> bool:

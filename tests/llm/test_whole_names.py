@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 from lodestrata.llm import name_variants as nv
+from lodestrata.llm.name_forms import osa
 
 NODES = "id string, name string, node_type string, ticker string, aliases array<string>"
 
@@ -17,3 +20,14 @@ def test_weak_spellings_are_linked_by_edits(spark):
              ("b3", "Quistero", "company", None), ("c1", "Plendavo Mining Corp.", "company", None), ("c2", "Plendavvo", "company", None), ("d1", "Grenfolti Mining", "company", None), ("d2", "Grenfolti Shipping", "company", None), ("d3", "Grenfoltti", "company", None)]
     people = [("p1", "F. R. Flegufolkro", "person", None), ("p2", "F. R. Flegufolrko", "person", None), ("p3", "G. R. Flegufolkro", "person", None), ("q1", "Robert Masatawu", "person", None), ("q2", "R. Masatavu", "person", None)]
     assert pairs(spark, firms + people) == {("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("c1", "c2"), ("p1", "p2"), ("q1", "q2")}
+
+
+def test_all_names_one_edit_apart_share_a_shard():
+    rng = random.Random(3)
+    for part in ["kim", "bmw", "chen", "khan", "ng", "abc", "rossi"] + ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 10))) for _ in range(150)]:
+        near = {part[:i] + c + part[i + 1 :] for i in range(len(part)) for c in "xa"} | {part[:i] + part[i + 1 :] for i in range(len(part))} | {part[:i] + c + part[i:] for i in range(len(part) + 1) for c in "xa"}
+        near |= {part[:i] + part[i + 1] + part[i] + part[i + 2 :] for i in range(len(part) - 1)}
+        for other in near - {part, ""}:
+            assert osa(part, other, 1) == 1
+            for kind, head in (("o", ""), ("p", "anna ")):
+                assert set(nv.shards(kind, "", head + part)) & set(nv.shards(kind, "", head + other)), (part, other)
