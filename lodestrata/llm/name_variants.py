@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ TYPES = ("company", "institution", "person")
 SHARD = 4000
 #: Groups up to this size are expanded into all pairs, larger ones into pairs with their first member.
 EXPAND = 1000
-#: Two edits are allowed for cores of this length if one of the spellings occurs in one record only.
+#: Two edits are allowed for cores of this length if one of the spellings occurs in one record, copies of it aside.
 LONG = 8
 #: Parts of up to this many letters meet by what one letter less leaves.
 SHORT = 4
@@ -85,12 +86,13 @@ def shards(kind: str, cls: str, core: str) -> list[str]:
 def same_entity(kind: str, a: tuple, b: tuple, edits: int) -> bool:
     """The exact check of two spellings that a trie found.
 
-    A spelling is ``(core, number of records, legal forms or middle initials,
-    tickers)``.  Tickers that contradict tell firms apart.  One edit suffices if the
-    legal forms or middle initials do not contradict, or if one spelling is rare; two
-    edits only for long cores of which one is found once.  Given names that are both
-    well known are never variants of each other, and of Chinese cores of three signs
-    none may be replaced.
+    A spelling is ``(core, n, legal forms or middle initials, tickers)``, ``n`` being
+    the number of records of different content, so that a row found again changes nothing.
+    Tickers that contradict tell firms apart, and so do legal forms or middle initials.
+    One edit suffices otherwise, of Chinese cores if one has at most two such records;
+    two edits only for long cores of which one has one.  Given names that
+    are both well known are never variants of each other, and of Chinese cores of
+    three signs none may be replaced.
     """
     (x, nx, lx, tx), (y, ny, ly, ty) = a, b
     clash = bool(lx) and bool(ly) and not set(lx) & set(ly)
@@ -105,7 +107,7 @@ def same_entity(kind: str, a: tuple, b: tuple, edits: int) -> bool:
         if edits == 2 and gx != gy:
             return False
     if edits <= 1:
-        return min(nx, ny) <= 2 and not clash if ord(x[-1]) >= 0x3400 or clash else True
+        return not clash and (min(nx, ny) <= 2 or ord(x[-1]) < 0x3400)
     return not clash and min(nx, ny) == 1 and min(len(x), len(y)) >= LONG and ord(x[-1]) < 0x3400
 
 
@@ -124,15 +126,16 @@ def same_brief(kind: str, a: tuple, b: tuple, edits: int) -> bool:
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "kind", "cls", "core", "legal", "weak", "ticker"]
+    names = ["id", "kind", "cls", "core", "legal", "weak", "ticker", "content"]
     for batch in batches:
         rows: list[tuple] = []
         for i, name, kind, ticker, aliases in zip(*(batch[c].to_pylist() for c in ("id", "name", "node_type", "ticker", "aliases"))):
             code = clean_ticker(ticker) if kind != "person" else None
-            rows += [(i, f.kind, f.cls, f.core, f.legal, f.weak, code) for f in forms(name, aliases, kind)]
+            content = blake2b(repr((name, kind, ticker, aliases)).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+            rows += [(i, f.kind, f.cls, f.core, f.legal, f.weak, code, content) for f in forms(name, aliases, kind)]
             if code:
-                rows.append((i, "t", "", code, "", False, code))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.bool_() if n == "weak" else pa.string()) if rows else pa.array([], pa.bool_() if n == "weak" else pa.string()) for n, c in zip(names, zip(*rows) if rows else [[]] * 7)], names)
+                rows.append((i, "t", "", code, "", False, code, content))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.bool_() if n == "weak" else pa.string()) if rows else pa.array([], pa.bool_() if n == "weak" else pa.string()) for n, c in zip(names, zip(*rows) if rows else [[]] * len(names))], names)
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,14 +236,14 @@ def entity_groups(nodes: DataFrame) -> DataFrame:
     """
     ws = Workspace(nodes.sparkSession, "names")
     slim = nodes.where(F.col("node_type").isin(*TYPES) & F.col("id").isNotNull()).select("id", "name", "node_type", "ticker", "aliases")
-    found = slim.mapInArrow(_forms, "id string, kind string, cls string, core string, legal string, weak boolean, ticker string").distinct()
+    found = slim.mapInArrow(_forms, "id string, kind string, cls string, core string, legal string, weak boolean, ticker string, content string").distinct()
     found = ws.save(found, "forms")
     strong = found.where("not weak")
     key = ["kind", "cls", "core"]
     # per spelling: its smallest id stands for it; minima and counts are combined before the shuffle
     legal = F.collect_set(F.when(F.col("legal") != "", F.col("legal"))).alias("legal")
-    spellings = ws.save(strong.groupBy(*key).agg(F.min("id").alias("hub"), F.countDistinct("id").alias("n"), legal, F.collect_set("ticker").alias("tickers")), "spellings")
-    equal = strong.join(spellings.where("n > 1").select(*key, "hub"), key).select(F.col("hub").alias("src"), F.col("id").alias("dst"))
+    spellings = ws.save(strong.groupBy(*key).agg(F.min("id").alias("hub"), (F.min("id") != F.max("id")).alias("several"), F.countDistinct("content").alias("n"), legal, F.collect_set("ticker").alias("tickers")), "spellings")
+    equal = strong.join(spellings.where("several").select(*key, "hub"), key).select(F.col("hub").alias("src"), F.col("id").alias("dst"))
 
     spread = spellings.where("kind <> 't'").select("kind", "cls", "core", "hub", "n", "legal", "tickers")
     close = _close(ws, spread, _join_tries)
@@ -259,7 +262,7 @@ def _attach_weak(ws: Workspace, found: DataFrame, labels: DataFrame) -> DataFram
     contradict.  A unit is left alone if what it fits is of several entities, or of
     several legal forms.
     """
-    entity = found.join(labels, F.col("id") == F.col("node"), "left").where("kind <> 't'").select("id", "kind", "core", "legal", "weak", "ticker", F.coalesce("label", "id").alias("label"))
+    entity = found.join(labels, F.col("id") == F.col("node"), "left").where("kind <> 't'").select("id", "kind", "core", "legal", "weak", "ticker", "content", F.coalesce("label", "id").alias("label"))
     surname = F.substring_index("core", " ", -1)
     reduced = F.when((F.col("kind") == "p") & ~F.col("weak"), F.concat_ws(" ", F.substring("core", 1, 1), surname)).otherwise(F.col("core"))
     entity = ws.save(entity.withColumn("brief", reduced), "briefs")
@@ -270,7 +273,7 @@ def _attach_weak(ws: Workspace, found: DataFrame, labels: DataFrame) -> DataFram
     units = ws.save(weak.groupBy(*unit).agg(F.min("w").alias("hub")), "units")
 
     state = F.when(F.max("weak"), "w").otherwise("s").alias("hub")
-    briefs = entity.groupBy("kind", F.lit("").alias("cls"), F.col("brief").alias("core")).agg(state, F.countDistinct("id").alias("n"), F.array().cast("array<string>").alias("legal"), F.collect_set("ticker").alias("tickers"))
+    briefs = entity.groupBy("kind", F.lit("").alias("cls"), F.col("brief").alias("core")).agg(state, F.countDistinct("content").alias("n"), F.array().cast("array<string>").alias("legal"), F.collect_set("ticker").alias("tickers"))
     pairs = _close(ws, briefs.select("kind", "cls", "core", "hub", "n", "legal", "tickers"), partial(_join_tries, join=_join_brief_shard))
     near = ws.save(pairs.select(F.substring("src", 1, 1).alias("kind"), F.expr("substring(src, 2)").alias("brief"), F.expr("substring(dst, 2)").alias("other")).distinct(), "near")
 

@@ -31,3 +31,10 @@ def test_all_names_one_edit_apart_share_a_shard():
             assert osa(part, other, 1) == 1
             for kind, head in (("o", ""), ("p", "anna ")):
                 assert set(nv.shards(kind, "", head + part)) & set(nv.shards(kind, "", head + other)), (part, other)
+
+
+def test_repeated_rows_change_no_link(spark):
+    firms = [("a1", "晨霁珩滢能源集团有限公司", "company", None), *[(f"a{i}", "辰霁珩滢能源集团有限公司", "company", None) for i in range(2, 6)], ("a6", "晨霁珩滢能源(集团)有限公司", "company", None), ("a7", "晨霁珩滢能源公司", "company", None)]
+    firms += [("b1", "Quanderolin Mining Corp.", "company", None), *[(f"b{i}", "Quabderilin Mining Corp.", "company", None) for i in (2, 3)], ("b4", "Quanderolin Mining", "company", None)]
+    want = {(x[0], y[0]) for x in firms for y in firms if x[0] < y[0] and x[0][0] == y[0][0]}
+    assert pairs(spark, firms) == want
