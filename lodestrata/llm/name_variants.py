@@ -17,7 +17,7 @@ from lodestrata.session import Workspace
 TYPES = ("company", "institution", "person")
 #: Distinct names of a shard before it is cut into blocks.
 SHARD = 4000
-#: Groups up to this size are expanded into all pairs, larger ones into pairs with their first member.
+#: Up to so many copies of a record are expanded into all pairs, more into pairs with the first of them; also the rows of a block of a large entity.
 EXPAND = 1000
 #: Two edits are allowed for cores of this length if one of the spellings occurs in one record, copies of it aside.
 LONG = 8
@@ -303,18 +303,39 @@ def _attach_weak(ws: Workspace, found: DataFrame, labels: DataFrame) -> DataFram
     return minimum_labels(ws, ws.save(arcs, "all"))
 
 
+def entity_members(nodes: DataFrame) -> DataFrame:
+    """``(node_id, entity_id, copy_of)`` for every record that has a variant.
+
+    ``entity_id`` is the smallest id of the entity, ``copy_of`` the smallest id of the
+    entity's records with the same name, type, ticker and aliases.
+    """
+    content = F.md5(F.to_json(F.struct("name", "node_type", "ticker", "aliases")))
+    contents = nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("node"), content.alias("content")).groupBy("node").agg(F.min("content").alias("content"))
+    ws = Workspace(nodes.sparkSession, "members")
+    joined = ws.save(entity_groups(nodes).join(contents, "node"), "joined")
+    firsts = joined.groupBy("label", "content").agg(F.min("node").alias("copy_of"))
+    return joined.join(firsts, ["label", "content"]).select(F.col("node").alias("node_id"), F.col("label").alias("entity_id"), "copy_of")
+
+
 def variant_pairs(nodes: DataFrame, expand: int = EXPAND) -> DataFrame:
     """``(left_node_id, right_node_id)`` of the records that denote the same entity.
 
-    The records of an entity are paired with each other; of an entity with more than
-    ``expand`` records the smallest id is paired with each of the others, which
-    links all of them.
+    All records of an entity are paired with each other, however many there are;
+    large entities are paired block by block.  Only exact copies of one record, if
+    there are more than ``expand``, appear in these pairs by the first of them, which
+    is also paired with each of its copies; ``entity_members`` has the membership.
     """
-    groups = entity_groups(nodes).select("label", F.col("node").alias("id"))
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    sized = groups.join(sizes, "label")
-    usual = sized.where(F.col("n") <= expand)
-    a, b = usual.select("label", F.col("id").alias("ia")), usual.select("label", F.col("id").alias("ib"))
-    pairs = a.join(b, "label").where("ia < ib").select("ia", "ib")
-    star = sized.where((F.col("n") > expand) & (F.col("id") != F.col("label"))).select(F.col("label").alias("ia"), F.col("id").alias("ib"))
-    return pairs.unionByName(star).select(F.col("ia").alias("left_node_id"), F.col("ib").alias("right_node_id")).distinct()
+    ws = Workspace(nodes.sparkSession, "variants")
+    members = ws.save(entity_members(nodes), "members")
+    copies = members.groupBy("copy_of").agg(F.count(F.lit(1)).alias("copies"))
+    sized = members.join(copies, "copy_of")
+    shown = ws.save(sized.where((F.col("copies") <= expand) | (F.col("node_id") == F.col("copy_of"))).select("entity_id", "node_id"), "shown")
+    blocks = shown.groupBy("entity_id").agg(F.ceil(F.count(F.lit(1)) / expand).cast("int").alias("k"))
+    placed = shown.join(blocks, "entity_id").select("entity_id", "node_id", "k", F.pmod(F.xxhash64("node_id"), "k").cast("int").alias("p"))
+    # a pair of ids is made where the block of the left one meets the block of the right one
+    spread = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    a = placed.select("entity_id", F.col("node_id").alias("ia"), F.col("p").alias("i"), spread.alias("j"))
+    b = placed.select("entity_id", F.col("node_id").alias("ib"), F.col("p").alias("j"), spread.alias("i"))
+    pairs = a.join(b, ["entity_id", "i", "j"]).where("ia < ib").select("ia", "ib")
+    star = sized.where((F.col("copies") > expand) & (F.col("node_id") != F.col("copy_of"))).select(F.col("copy_of").alias("ia"), F.col("node_id").alias("ib"))
+    return pairs.unionByName(star).select(F.col("ia").alias("left_node_id"), F.col("ib").alias("right_node_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestrata.llm.bpe import encode_documents
 from lodestrata.llm.groups import match_groups
-from lodestrata.llm.name_variants import variant_pairs
+from lodestrata.llm.name_variants import entity_members, variant_pairs
 from lodestrata.llm.near_duplicates import similar_groups, similar_pairs
 from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.sentences import split_sentences
@@ -19,6 +19,11 @@ def p2_found(spark, folder):
     return variant_pairs(table(spark, folder, "world_nodes"))
 
 
+def p2_groups(spark, folder):
+    """Entity, and first exact copy, of every record that has a variant."""
+    return entity_members(table(spark, folder, "world_nodes"))
+
+
 def p7_found(spark, folder):
     return similar_pairs(table(spark, folder, "raw_information"), table(spark, folder, "dedup_checks"))
 
@@ -40,7 +45,7 @@ def p10_found(spark, folder):
     return split_sentences(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p7_found, p7_groups, p8_ids, p9_packed, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p7_found, p7_groups, p8_ids, p9_packed, p10_found)}
 
 ORACLE = {
     "p1_found": r"""

@@ -38,3 +38,12 @@ def test_repeated_rows_change_no_link(spark):
     firms += [("b1", "Quanderolin Mining Corp.", "company", None), *[(f"b{i}", "Quabderilin Mining Corp.", "company", None) for i in (2, 3)], ("b4", "Quanderolin Mining", "company", None)]
     want = {(x[0], y[0]) for x in firms for y in firms if x[0] < y[0] and x[0][0] == y[0][0]}
     assert pairs(spark, firms) == want
+
+
+def test_large_entities_give_all_pairs(spark):
+    firms = [(f"k{i:02d}", f"Tubanana Foods {'Inc.' if i % 2 else ''}{' ' * (i % 5 + 1)}", "company", "ZTUB1") for i in range(10)] + [(f"m{i:02d}", "Tubanana Foods Inc.", "company", "ZTUB1") for i in range(6)]
+    ids = [f[0] for f in firms[:10]] + ["m00"]
+    want = {(a, b) for a in ids for b in ids if a < b} | {("m00", f"m{i:02d}") for i in range(1, 6)}
+    assert pairs(spark, firms, expand=4) == want
+    members = nv.entity_members(spark.createDataFrame([(*f, None) for f in firms], NODES)).collect()
+    assert {(r.node_id, r.entity_id, r.copy_of) for r in members} == {(f[0], "k00", "m00" if f[0][0] == "m" else f[0]) for f in firms}
