@@ -580,7 +580,7 @@ def _drivers(spark, folder):
 
 
 def _occurrences(spark, folder):
-    nodes = table(spark, folder, "world_nodes").where("node_type in ('company', 'sector', 'concept', 'region', 'currency')").select("name", "node_type", "aliases")
+    nodes = table(spark, folder, "world_nodes").select("name", "node_type", "aliases")
     terms = entities.dictionary_terms(nodes.unionByName(_drivers(spark, folder)))
     records = table(spark, folder, "raw_information").select("id", F.concat_ws(" ", "title", "body").alias("text"), "title")
     return entities.entity_occurrences(entities.match_entities(records, terms, "id", "text"), "id"), records
