@@ -30,18 +30,24 @@ def minimum_labels(ws: Workspace, arcs: DataFrame) -> DataFrame:
         b = labels.select(F.col("node").alias("dst"), F.col("label").alias("ld"))
         lifted = active.join(a, "src").join(b, "dst").where("ls <> ld").select(F.col("ls").alias("src"), F.col("ld").alias("dst")).distinct()
         lifted = ws.save(lifted, "arcs")
+        if active is not arcs:
+            ws.free(active)
         if lifted.isEmpty():
+            ws.free(lifted)
             return _flatten(ws, labels)
         # hooks: every label to the smallest label next to it
         hooks = lifted.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("h"), F.least("src", "m").alias("to"))
-        labels = ws.save(labels.join(hooks, F.col("label") == F.col("h"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        labels = _jump(ws, labels)
+        hooked = ws.save(labels.join(hooks, F.col("label") == F.col("h"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        ws.free(labels)
+        labels = _jump(ws, hooked)
         active = lifted
 
 
 def _jump(ws: Workspace, labels: DataFrame) -> DataFrame:
     up = labels.select(F.col("node").alias("l"), F.col("label").alias("l2"))
-    return ws.save(labels.join(up, F.col("label") == F.col("l"), "left").select("node", F.coalesce("l2", "label").alias("label")), "jump")
+    jumped = ws.save(labels.join(up, F.col("label") == F.col("l"), "left").select("node", F.coalesce("l2", "label").alias("label")), "jump")
+    ws.free(labels)
+    return jumped
 
 
 def _flatten(ws: Workspace, labels: DataFrame) -> DataFrame:

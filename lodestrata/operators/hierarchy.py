@@ -40,73 +40,61 @@ def parent_links(
     )
 
 
-def resolve_roots(links: DataFrame, with_path: bool = False, separator: str = "/") -> DataFrame:
+def resolve_roots(links: DataFrame, with_path: bool = False) -> DataFrame:
     """Root, depth and optionally path of every node of ``(node, parent)`` links.
 
     Pointer doubling: every open node holds a pointer to an ancestor and the
-    distance to it.  A round joins the pointers with the pointers' own pointers,
-    which doubles the distance, and appends the path segments; a node whose
-    pointer is a root is done and leaves the join.  Depth ``d`` takes about
-    ``log2 d`` rounds.  Depths are contiguous along a path, so a round in which no
-    open node gets done shows that all that are left run into a loop: they get
-    root ``cycle``, depth -1 and a null path.
-
-    Returns ``node, root, depth[, path]``; ``path`` runs from the root to the node.
-    A parent without a row of its own is a root.  The pointer side
-    of each join may be hot (many children of one node) while the other side has
-    one row per node, so skewed partitions are split at run time by AQE.
+    distance to it; roots point to themselves and are done.  A round joins the open
+    pointers with the rows they point to, which doubles the distance, appends the
+    path segments and takes over whether the pointer is done.  Depth ``d`` takes
+    about ``log2 d`` rounds of one join.  Depths are contiguous along a path, so a
+    round in which no open node gets done shows that all that are left run into a
+    loop: they get root ``cycle``, depth -1 and a null path.
+
+    Returns ``node, root, depth[, path]``; ``path`` is the array of ids from the root
+    to the node, so ids may hold any character.  A parent without a row of its own is
+    a root.  The pointer side of each join may be hot (many children of one node)
+    while the other side has one row per node, so skewed partitions are split at run
+    time by AQE.
     """
     ws = Workspace(links.sparkSession, "hierarchy")
     ends = F.array(F.struct("node", "parent"), F.struct(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
     complete = links.select(F.explode(ends).alias("x")).select("x.*").where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
-    nodes = ws.save(complete, "links")
-    own = F.col("node") if with_path else F.lit(None).cast("string")
-    join_path = (lambda upper, lower: F.concat_ws(separator, upper, lower)) if with_path else (lambda upper, lower: F.lit(None).cast("string"))
-    top = nodes.where("parent is null").select(F.col("node").alias("top"))
-    #: ptr = ancestor at distance dist, tail = the ids below ptr down to the node
-    open_ = nodes.where("parent is not null").select("node", F.col("parent").alias("ptr"), F.lit(1).alias("dist"), own.alias("tail"))
-    done: list[DataFrame] = []
-    looped = None
-    before = -1
-    while True:
-        split = ws.save(open_.join(top, F.col("ptr") == F.col("top"), "left"), "split")
-        done.append(split.where("top is not null").drop("top"))
-        rest = split.where("top is null").drop("top")
-        left = rest.count()
-        if not left:
-            break
+    own = F.array("node") if with_path else F.array().cast("array<string>")
+    top = F.col("parent").isNull()
+    #: ptr = ancestor at distance dist, path = the ids below ptr down to the node, or from the root if it is done
+    rows = ws.save(complete.select("node", F.coalesce("parent", "node").alias("ptr"), F.when(top, 0).otherwise(1).alias("dist"), top.alias("done"), own.alias("path")), "links")
+    done, open_ = rows.where("done"), rows.where("not done")
+    before = open_.count()
+    while before:
+        known = done.unionByName(open_)
+        up = known.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("path").alias("path2"))
+        joined = open_.join(up, "ptr")
+        moved = joined.select("node", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), F.concat("path2", "path").alias("path"))
+        moved = ws.save(moved, "round")
+        done, open_ = done.unionByName(moved.where("done")), moved.where("not done")
+        left = open_.count()
         if left == before:
-            looped = rest
             break
         before = left
-        step = rest
-        for part in done:  # a pointer's own row is open or done, never a root
-            step = step.unionByName(part)
-        step = step.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("tail").alias("tail2"))
-        open_ = rest.join(step, "ptr").select(
-            "node", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), join_path(F.col("tail2"), F.col("tail")).alias("tail")
-        )
-    out = top.select(F.col("top").alias("node"), F.col("top").alias("root"), F.lit(0).alias("depth"), F.col("top").alias("path"))
-    for part in done:
-        out = out.unionByName(part.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), join_path(F.col("ptr"), F.col("tail")).alias("path")))
-    if looped is not None:
-        out = out.unionByName(looped.select("node", F.lit(CYCLE).alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("string").alias("path")))
+    found = done.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "path")
+    looped = open_.select("node", F.lit(CYCLE).alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"))
+    out = found.unionByName(looped)
     return out if with_path else out.drop("path")
 
 
-def descendants(resolved: DataFrame, separator: str = "/") -> DataFrame:
+def descendants(resolved: DataFrame) -> DataFrame:
     """``(node, descendant, distance)`` for every node above another one.
 
     ``resolved`` is the result of ``resolve_roots(..., with_path=True)``.  Each path
     is unrolled where it lies, so no join is needed; the number of rows is the sum
     of all depths.  Nodes of loops have no path and do not occur.
     """
-    steps = F.split("path", separator)
-    above = resolved.where("depth > 0").select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice(steps, 1, F.col("depth"))))
+    above = resolved.where("depth > 0").select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))))
     return above.select(F.col("col").alias("node"), "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
-def descendant_counts(resolved: DataFrame, separator: str = "/") -> DataFrame:
+def descendant_counts(resolved: DataFrame) -> DataFrame:
     """``(node, n_descendants)`` for all nodes; map-side sums keep hot roots small."""
-    counts = descendants(resolved, separator).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    counts = descendants(resolved).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     return resolved.select("node").join(counts, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n_descendants"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators.bitemporal import attached_states
-from lodestrata.operators.hierarchy import descendant_counts, parent_links, resolve_roots
+from lodestrata.operators.hierarchy import descendant_counts, descendants, parent_links, resolve_roots
 from lodestrata.operators.history import build_history, history_rows
 from lodestrata.sources.tables import table
 from lodestrata.streaming.late import corrections, period_revisions
@@ -22,6 +22,12 @@ def p3_paths(spark, folder):
     return resolved.join(descendant_counts(resolved), "node").select(F.col("node").alias("node_id"), "path", "n_descendants")
 
 
+def p3_descendants(spark, folder):
+    """All descendants of every node, with their distance."""
+    resolved = resolve_roots(parent_links(table(spark, folder, "world_node_edges")), with_path=True)
+    return descendants(resolved).select(F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
 def p4_found(spark, folder):
     return attached_states(*(table(spark, folder, n) for n in ("node_attachments", "raw_information", "node_states")))
 
@@ -50,7 +56,7 @@ def p6_dropped(spark, folder):
     return period_revisions(table(spark, folder, "raw_information"), table(spark, folder, "info_sources"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p4_found, p5_found, p5_history, p6_found, p6_issues, p6_dropped)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_history, p6_found, p6_issues, p6_dropped)}
 
 _LINKS = """
 links AS (
@@ -62,8 +68,8 @@ up AS (SELECT node, min(p) AS parent FROM ids LEFT JOIN links ON node = c GROUP
 _WALK = f"""
 WITH RECURSIVE {_LINKS},
 walk AS (
-  SELECT node, node AS root, 0 AS depth, node AS path FROM up WHERE parent IS NULL
-  UNION ALL SELECT up.node, walk.root, walk.depth + 1, walk.path || '/' || up.node FROM walk JOIN up ON up.parent = walk.node)
+  SELECT node, node AS root, 0 AS depth, [node] AS path FROM up WHERE parent IS NULL
+  UNION ALL SELECT up.node, walk.root, walk.depth + 1, list_append(walk.path, up.node) FROM walk JOIN up ON up.parent = walk.node)
 """
 
 _FIRST = """
@@ -99,9 +105,11 @@ ORACLE = {
 SELECT node AS node_id, root AS root_node_id, CAST(depth AS INT) AS depth FROM walk
 UNION ALL SELECT node, 'cycle', CAST(-1 AS INT) FROM up WHERE node NOT IN (SELECT node FROM walk)""",
     "p3_paths": f"""{_WALK},
-counts AS (SELECT a.node, count(*) AS n FROM walk a JOIN walk b ON b.root = a.root AND b.depth > a.depth AND list_contains(string_split(b.path, '/'), a.node) GROUP BY 1)
+counts AS (SELECT a.node, count(*) AS n FROM walk a JOIN walk b ON b.root = a.root AND b.depth > a.depth AND list_contains(b.path, a.node) GROUP BY 1)
 SELECT up.node AS node_id, path, coalesce(n, 0) AS n_descendants
 FROM up LEFT JOIN walk ON walk.node = up.node LEFT JOIN counts ON counts.node = up.node""",
+    "p3_descendants": f"""{_WALK}
+SELECT path[i] AS node_id, node AS descendant_id, CAST(depth + 1 - i AS INT) AS distance FROM (SELECT node, depth, path, unnest(generate_series(1, depth)) AS i FROM walk)""",
     "p4_found": """
 WITH st AS (SELECT DISTINCT node_id, version, effective_from AS f, effective_to AS e, created_at AS c FROM node_states),
 pts AS (SELECT DISTINCT a.attachment_id AS info_id, a.node_id, r.published_at AS t

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Open scopes, the innermost last; each lists the workspaces made in it.
+_SCOPES: list[list["Workspace"]] = []
+
 
 def build_session(app: str = "lodestrata", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings the test-suite and the bench use."""
@@ -52,18 +58,32 @@ class Workspace:
 
     A table written here survives the loss of an executor, and its size is
     known to the planner, so that joins with a small step of an iteration are
-    broadcast by Spark's own size check and larger ones are not.
+    broadcast by Spark's own size check and larger ones are not.  Tables go when
+    they are freed, when the scope they were made in ends (:func:`scratch`,
+    :func:`settled`), and with the session at the latest.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._serial = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self)
+        where, files = self._files(self.root)
+        files.deleteOnExit(where)
+
+    def _files(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def path(self, tag: str) -> str:
+        """A new path of this workspace."""
+        self._serial += 1
+        return f"{self.root}/{self._serial:03d}-{tag}"
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         """Write ``df`` and return the table read back."""
-        self._serial += 1
-        path = f"{self.root}/{self._serial:03d}-{tag}"
+        path = self.path(tag)
         df.write.option("compression", "zstd").parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._scratch_path = path
@@ -71,13 +91,59 @@ class Workspace:
 
     def free(self, *tables: DataFrame) -> None:
         """Delete tables of earlier rounds that no later plan reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
             path = getattr(table, "_scratch_path", None)
             if path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                where, files = self._files(path)
+                files.delete(where, True)
+
+    def clear(self) -> None:
+        """Delete all tables of this workspace."""
+        where, files = self._files(self.root)
+        files.delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what the operators called inside have written, when it is left.
+
+    Results that are read afterwards have to be collected or written inside.
+    """
+    opened: list[Workspace] = []
+    _SCOPES.append(opened)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(opened)
+        for ws in opened:
+            ws.clear()
+
+
+def settled(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query whose result is written, and whose other tables are gone when it returns.
+
+    Queries that write nothing on their way stay lazy.
+    """
+
+    @functools.wraps(query)
+    def run(*args, **options) -> DataFrame:
+        opened: list[Workspace] = []
+        _SCOPES.append(opened)
+        try:
+            out = query(*args, **options)
+        except BaseException:
+            _SCOPES.remove(opened)
+            for ws in opened:
+                ws.clear()
+            raise
+        _SCOPES.remove(opened)
+        if opened:
+            out = Workspace(out.sparkSession, query.__name__).save(out, "result")
+            for ws in opened:
+                ws.clear()
+        return out
+
+    return run
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ from lodestrata.functions import scoring as sc
 from lodestrata.functions import text as tx
 from lodestrata.operators import dedup, graph, retrieval, temporal
 from lodestrata.operators.bitemporal import attached_states, lookup_as_known
-from lodestrata.operators.hierarchy import descendant_counts, parent_links, resolve_roots
+from lodestrata.operators.hierarchy import descendant_counts, descendants, parent_links, resolve_roots
 from lodestrata.operators.history import build_history, history_rows
 from lodestrata.streaming.late import corrections, period_revisions
 
@@ -32,11 +32,18 @@ def test_hierarchy_paths_loops_and_spellings(spark):
         [("a", "b", "belongs_to", "x"), ("a", "b", " Belongs-To ", "x"), ("b", "c", "BELONGS TO", "x"), (None, "r", "belongs_to", "x"), ("l1", "l2", "belongs_to", "x"),
          ("l2", "l1", "belongs_to", "x"), ("l2", "t", "belongs_to", "x"), ("s", "s", "belongs_to", "x"), ("z", "y", "upstream_of", "x"), ("q", None, "belongs_to", "x")], EDGES)
     got = {r.node: (r.root, r.depth, r.path) for r in resolve_roots(parent_links(e), with_path=True).collect()}
-    assert got == {"a": ("a", 0, "a"), "b": ("a", 1, "a/b"), "c": ("a", 2, "a/b/c"), "r": ("r", 0, "r"), "q": ("q", 0, "q"), **{n: ("cycle", -1, None) for n in ("l1", "l2", "t", "s")}}
+    assert got == {"a": ("a", 0, ["a"]), "b": ("a", 1, ["a", "b"]), "c": ("a", 2, ["a", "b", "c"]), "r": ("r", 0, ["r"]), "q": ("q", 0, ["q"]), **{n: ("cycle", -1, None) for n in ("l1", "l2", "t", "s")}}
     counts = {r.node: r.n_descendants for r in descendant_counts(resolve_roots(parent_links(e), with_path=True)).collect()}
     assert counts["a"] == 2 and counts["b"] == 1 and counts["c"] == 0
 
 
+def test_hierarchy_ids_may_hold_separators(spark):
+    e = spark.createDataFrame([("x/y", "b", "belongs_to", ""), ("b", "c/", "belongs_to", "")], EDGES)
+    resolved = resolve_roots(parent_links(e), with_path=True)
+    assert {r.node: r.n_descendants for r in descendant_counts(resolved).collect()} == {"x/y": 2, "b": 1, "c/": 0}
+    assert rows(descendants(resolved)) == [("b", "c/", 1), ("x/y", "b", 1), ("x/y", "c/", 2)]
+
+
 def test_hierarchy_long_chain_hub_and_empty(spark):
     chain = [(f"n{i:04d}", f"n{i + 1:04d}", "belongs_to", None) for i in range(300)] + [("n0200", f"leaf{i}", "belongs_to", None) for i in range(400)]
     got = {r.node: r.depth for r in resolve_roots(parent_links(spark.createDataFrame(chain, EDGES))).collect()}
