@@ -57,7 +57,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole = pa.Table.from_batches(batches)
     if not whole.num_rows:
         return
-    order = np.argsort(whole["item"].to_numpy(), kind="stable")  # independent of how the rows arrived
+    order = np.lexsort((whole["k"].to_numpy(), whole["item"].to_numpy()))  # independent of how the rows arrived
     part = whole.take(pa.array(order))
     window, capacity, group = (part[c][0].as_py() for c in ("window_id", "capacity_tokens", "grp"))
     bins = first_fit_decreasing(part["n_tokens"].to_numpy(), capacity)
@@ -77,15 +77,19 @@ def pack_items(items: DataFrame, windows: DataFrame, groups: int) -> DataFrame:
     repeated rows are packed repeatedly.  Returns ``window_id, capacity_tokens,
     bin_id, doc_id, start_token, n_tokens``.
 
-    Groups are drawn at random per row (with a fixed seed), so their sizes are even
-    whatever the ids are like, and each is packed by one task in bounded memory.
+    Groups are drawn by a hash of the item (a repeated row is numbered), so they do not
+    depend on how the rows lie, their sizes are even whatever the ids are like, and
+    each is packed by one task in bounded memory.
     """
     capacities = [(r[0], r[1]) for r in windows.select("window_id", "capacity_tokens").collect() if r[0] is not None and (r[1] or 0) > 0]
     if not capacities:
         return items.sparkSession.createDataFrame([], PACKED)
     choices = F.array(*[F.struct(F.lit(w).cast("int").alias("window_id"), F.lit(c).cast("int").alias("capacity_tokens")) for w, c in capacities])
-    numbered = items.where("n_tokens > 0").select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("item"), F.floor(F.rand(17) * groups).cast("int").alias("grp"))
-    each = numbered.select("*", F.explode(choices).alias("w")).select("doc_id", "n_tokens", "item", "grp", "w.*")
+    counted = items.where("n_tokens > 0").groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("rows"))
+    copies = counted.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy"))
+    drawn = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n_tokens", "copy")
+    numbered = copies.select("doc_id", "n_tokens", "copy", drawn.alias("item"), F.pmod(F.shiftright(drawn, 8), F.lit(groups)).cast("int").alias("grp"))
+    each = numbered.select("*", F.explode(choices).alias("w")).select("doc_id", "n_tokens", "copy", "item", "grp", "w.*")
     full = F.expr("n_tokens div capacity_tokens")
     pieces = F.when(
         F.col("n_tokens") <= F.col("capacity_tokens"), F.array(F.lit(0).cast("long"))
@@ -97,8 +101,9 @@ def pack_items(items: DataFrame, windows: DataFrame, groups: int) -> DataFrame:
             "window_id",
             "capacity_tokens",
             "item",
+            "k",
             "grp",
-            F.when(F.col("k") < F.col("full"), F.concat_ws("-", "window_id", F.lit("x"), "item", "k")).alias("bin_id"),
+            F.when(F.col("k") < F.col("full"), F.concat_ws("-", "window_id", F.lit("x"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", "copy", "k")).alias("bin_id"),
             "doc_id",
             (F.col("k") * F.col("capacity_tokens")).alias("start_token"),
             F.least(F.col("n_tokens") - F.col("k") * F.col("capacity_tokens"), F.col("capacity_tokens")).cast("int").alias("n_tokens"),

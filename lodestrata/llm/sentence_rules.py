@@ -22,12 +22,22 @@ CLOSING = "”’\"'»)\\]}）】」』〉》›"
 OPENING = "“‘„\"'«(\\[{（【「『〈《‹¿¡"
 
 
+@dataclass(frozen=True)
+class Quotation:
+    """Opening and closing marks; ``whole``: no closing mark lies between them."""
+
+    opening: str
+    closing: str
+    whole: bool
+
+
 @dataclass(frozen=True)
 class Rule:
     marks: str  # last mark of the run, any of these
     before: str
     after: str
     verdict: bool
+    opened: Quotation | None = None  # the sentence opens with a quotation that ends here
 
 
 def _words(words: str) -> str:
@@ -74,7 +84,7 @@ LANGUAGES: dict[str, list[Rule]] = {
     "ar": [],
     "zh": [
         # a quotation from the sentence's start, after which the speaker is named
-        Rule("。！？．!?…", r"^\s*[“「『\"][^”」』\"]*[”」』\"]", r"\s?[^。！？．\n“”「『]{0,24}[说道问称答][，,。：:]", JOIN),
+        Rule("。！？．!?…", _ANY, r"\s?[^。！？．\n“”「『]{0,24}[说道问称答][，,。：:]", JOIN, Quotation("“「『\"", "”」』\"", True)),
     ],
     "ja": [Rule("。！？．!?", r"[」』”]", r"\s?(?:と|って|との)", JOIN)],
     "th": [],
@@ -88,7 +98,7 @@ COMMON: list[Rule] = [
     Rule(".…", r"(?:\.\.\.|…)", _LOWER + r"|\p{Ll}|[^\s\p{Lu}“\"«¿¡]", JOIN),
     # a quoted question whose sentence goes on; a quoted statement does so only if it opens the sentence
     Rule("?!？！", rf"[{CLOSING}]", r"\s*\p{Ll}", JOIN),
-    Rule(FULL_STOP, r"^\s*[“\"«„].*[”\"»“]", r"\s*\p{Ll}", JOIN),
+    Rule(FULL_STOP, _ANY, r"\s*\p{Ll}", JOIN, Quotation("“\"«„", "”\"»“", False)),
     Rule(".!?", r"[)\]]", r"\s*\p{Ll}", JOIN),
     Rule(WIDE_MARKS, _ANY, _ANY, BREAK),
     Rule(".!?…", _ANY, r"\s|\Z", BREAK),
@@ -102,18 +112,16 @@ COMMON: list[Rule] = [
 
 @dataclass(frozen=True)
 class Compiled:
-    marks: frozenset[str]
     before: regex.Pattern | None
-    from_start: bool
+    opened: Quotation | None
     after: regex.Pattern | None
     verdict: bool
 
 
 def _compile(rule: Rule) -> Compiled:
-    whole = rule.before.startswith("^")
     # (?r): matched backwards from the position, so that nothing before it has to be searched
-    before = regex.compile(rule.before[1:] + r"\Z" if whole else "(?r)" + rule.before, regex.S) if rule.before else None
-    return Compiled(frozenset(rule.marks), before, whole, regex.compile(rule.after) if rule.after else None, rule.verdict)
+    before = regex.compile("(?r)" + rule.before, regex.S) if rule.before else None
+    return Compiled(before, rule.opened, regex.compile(rule.after) if rule.after else None, rule.verdict)
 
 
 @dataclass(frozen=True)
@@ -135,7 +143,7 @@ def cascade(language: str | None) -> dict[str, list[Group]]:
         groups: list[tuple[bool, list[Rule]]] = []
         for rule in table:
             if mark in rule.marks:
-                gated = bool(rule.before) and not rule.before.startswith("^")
+                gated = bool(rule.before)
                 if not groups or groups[-1][0] != gated:
                     groups.append((gated, []))
                 groups[-1][1].append(rule)

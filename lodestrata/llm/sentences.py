@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.sentence_rules import BREAK, CLOSING, MARKS, cascade
+from lodestrata.llm.sentence_rules import BREAK, CLOSING, MARKS, Quotation, cascade
 
 _BLANK_LINE = regex.compile(r"\r?\n[^\S\n]*(?:\n[^\S\n]*)+")
 _LINE = regex.compile(r"[^\r\n]+")
@@ -21,7 +21,8 @@ _MARKED = rf"(?P<m>(?:[{MARKS.replace('.', '')}]|\.(?![0-9a-z]))+)(?P<c>(?:[{CLO
 _CANDIDATE = regex.compile(_MARKED)
 #: Thai: also a blank between two Thai words
 _THAI = regex.compile("[ก-๛]")
-_CANDIDATE_THAI = regex.compile(_MARKED + "|(?P<t>\\s+)(?<=[ก-๛]\u200b?\\s+)(?=\u200b?[ก-๛])")
+_CANDIDATE_THAI = regex.compile(_MARKED + "|(?<=[ก-๛]\u200b?)(?P<t>\\s++)(?=\u200b?[ก-๛])")
+_NOT_BLANK = regex.compile(r"\s*")
 _WINDOW = 40
 
 
@@ -67,49 +68,83 @@ class Segmenter:
         self._running(text, lo, hi, rules, candidates, out)
 
     def _running(self, text: str, lo: int, hi: int, rules: dict, candidates: regex.Pattern, out: list) -> None:
-        start = lo
+        open_ = Opening(text, lo)
         thai = candidates is _CANDIDATE_THAI
         for m in candidates.finditer(text, lo, hi):
             if thai and m.group("t"):
-                _add(text, start, m.start(), out)
-                start = m.end()
+                _add(text, open_.start, m.start(), out)
+                open_ = Opening(text, m.end())
                 continue
             mark, end = text[m.end("m") - 1], m.end()
             if end == hi:
                 break
-            if text[end] == "“" and _open_low_quote(text, start, end):
+            if text[end] == "“" and open_.low_quote(end):
                 end += 1  # closes „
                 if end == hi:
                     break
-            elif m.group("c") == '"' and text[start:end].count('"') % 2:
+            elif m.group("c") == '"' and open_.straight_quotes(end) % 2:
                 end -= 1  # a straight quote that opens the next sentence
             if mark == "." and end == m.end() and text[end].isalnum() and not (text[end].isupper() or text[end] > "⺀"):
                 continue  # inside a number, a name or an abbreviation
-            if _decide(rules[mark], text, start, max(start, m.start() - _WINDOW), end, hi):
-                _add(text, start, end, out)
-                start = end
-        _add(text, start, hi, out)
-
-
-def _decide(groups: list, text: str, start: int, near: int, end: int, hi: int) -> bool:
+            if _decide(rules[mark], text, open_, max(open_.start, m.start() - _WINDOW), end, hi):
+                _add(text, open_.start, end, out)
+                open_ = Opening(text, end)
+        _add(text, open_.start, hi, out)
+
+
+class Opening:
+    """What is known of the sentence that is open; every sign of it is read once, however many marks it holds."""
+
+    __slots__ = ("text", "start", "first", "counted", "quotes", "searched", "low", "high", "closed")
+
+    def __init__(self, text: str, start: int):
+        self.text, self.start = text, start
+        self.first = self.closed = None
+        self.counted, self.quotes = start, 0
+        self.searched, self.low, self.high = start, -1, -1
+
+    def straight_quotes(self, end: int) -> int:
+        self.quotes += self.text.count('"', self.counted, end)
+        self.counted = end
+        return self.quotes
+
+    def low_quote(self, end: int) -> bool:
+        """Whether a „ is open."""
+        self.low = max(self.low, self.text.rfind("„", self.searched, end))
+        self.high = max(self.high, self.text.rfind("“", self.searched, end))
+        self.searched = end
+        return self.low > self.high
+
+    def quotation(self, q: Quotation, end: int) -> bool:
+        """Whether the sentence opens with a quotation whose closing mark stands before ``end``."""
+        if self.text[end - 1] not in q.closing:
+            return False
+        if self.first is None:
+            self.first = _NOT_BLANK.match(self.text, self.start).end()
+        if self.first >= end - 1 or self.text[self.first] not in q.opening:
+            return False
+        if not q.whole:
+            return True
+        if self.closed is None:
+            self.closed = min((at for c in q.closing if (at := self.text.find(c, self.first + 1, end)) >= 0), default=end - 1)
+        return self.closed == end - 1
+
+
+def _decide(groups: list, text: str, open_: Opening, near: int, end: int, hi: int) -> bool:
     """The verdict of the first rule that matches at ``end``."""
     for group in groups:
         if group.gate is not None and not group.gate.match(text, near, end):
             continue
         for rule in group.rules:
-            if rule.before is not None:
-                hit = rule.before.match(text, start if rule.from_start else near, end)
-                if not hit:
-                    continue
+            if rule.opened is not None and not open_.quotation(rule.opened, end):
+                continue
+            if rule.before is not None and not rule.before.match(text, near, end):
+                continue
             if rule.after is None or rule.after.match(text, end, hi):
                 return rule.verdict is BREAK
     return False
 
 
-def _open_low_quote(text: str, start: int, end: int) -> bool:
-    return text.rfind("„", start, end) > text.rfind("“", start, end)
-
-
 def _add(text: str, lo: int, hi: int, out: list) -> None:
     while lo < hi and text[lo].isspace():
         lo += 1

@@ -243,3 +243,19 @@ def test_layout_and_missing_marks(spark):
     got = split_sentences(d)
     assert rows(got.where("doc_id = 1")) == [(1, 0, 6), (1, 7, 13)] and {r.doc_id for r in got.select("doc_id").distinct().collect()} == {1, 5}
     assert split_sentences(d.limit(0)).count() == 0
+
+
+def test_sentences_take_time_in_proportion():
+    import time
+
+    long = '"' + "foo.(bar " * 120_000
+    began = time.perf_counter()
+    for text in (long, "“" + "foo. bar” " * 60_000, "„" + "foo.“ bar " * 60_000, "กา" + " " * 500_000 + "x ไป"):
+        Segmenter().units(text, "en")
+    assert time.perf_counter() - began < 20
+
+
+def test_packing_does_not_depend_on_file_splits(spark):
+    items = spark.createDataFrame([(i % 50, 10 + i % 7) for i in range(200)], "doc_id long, n_tokens int")
+    windows = spark.createDataFrame([(1, 64)], "window_id int, capacity_tokens int")
+    assert rows(pack_items(items.repartition(7, "n_tokens"), windows, 3)) == rows(pack_items(items.coalesce(1), windows, 3))
