@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import permutations
 
 #: Short forms of given names.
 NICKNAMES = {
@@ -38,6 +40,8 @@ CLASSES = {
 LEGAL = {
     "ltd": "ltd", "limited": "ltd", "plc": "plc", "ag": "ag", "corp": "corp", "corporation": "corp", "inc": "inc", "incorporated": "inc",
     "llc": "llc", "gmbh": "gmbh", "sa": "sa", "nv": "nv", "co": "co", "company": "co", "holding": "", "holdings": "", "group": "",
+    "aktiengesellschaft": "ag", "oyj": "oyj", "asa": "asa", "spa": "spa", "srl": "srl", "sarl": "sarl", "bv": "bv", "pte": "", "pty": "", "llp": "llp",
+    "sas": "sas", "ooo": "ooo", "oao": "oao", "pao": "pao", "jsc": "jsc", "kk": "kk", "kg": "kg", "bhd": "bhd", "sdn": "",
 }
 FILLERS = set("the of for and f de".split())
 #: Chinese lines of business, legal endings, and traditional signs with their simple ones.
@@ -54,11 +58,38 @@ _INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
 
 @dataclass(frozen=True)
 class Form:
-    kind: str  # "o" organisation, "p" person
+    kind: str  # "o" organisation, "p" person, "P" all words of a person, to be met in another order
     cls: str
     core: str
     legal: str = ""
     weak: bool = False
+    #: the core with its words in other orders
+    orders: tuple[str, ...] = field(default=(), compare=False)
+
+
+def orders(words: list[str]) -> tuple[str, ...]:
+    """The words joined in other orders: every order of up to four words, of more the rotations, the sorted order and those with one word moved."""
+    n = len(words)
+    if n < 2:
+        return ()
+    if n <= 4:
+        ways = permutations(words)
+    else:
+        moved = [words[:i] + words[i + 1 :] for i in range(n)]
+        ways = [words[i:] + words[:i] for i in range(n)] + [sorted(words), words[::-1]] + [m[:j] + [words[i]] + m[j:] for i, m in enumerate(moved) for j in range(n)]
+    own = "".join(words)
+    return tuple(sorted({"".join(w) for w in ways} - {own}))
+
+
+def simple_signs(spark) -> dict[int, str]:
+    """Traditional signs with their simple ones, by the rules of the ICU library that Spark carries; without it a short fixed list."""
+    try:
+        rules = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
+        signs = [chr(c) for c in range(0x3400, 0xA000)]
+        plain = rules.transliterate("\n".join(signs)).split("\n")
+        return SIMPLE | {ord(a): b for a, b in zip(signs, plain, strict=True) if a != b and len(b) == 1}
+    except Exception:  # another Spark without that library
+        return dict(SIMPLE)
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -121,8 +152,24 @@ def person_form(name: str) -> Form | None:
     return Form("p", "", f"{given} {surname}", "".join(initials[:1]), quoted or len(surname) < 2)
 
 
-def chinese_form(s: str) -> Form | None:
-    s = re.sub(r"\s+", "", s).translate(SIMPLE)
+def person_words(name: str) -> Form | None:
+    """All words of a person's name, given names in their long form; None for names with a quotation or one word only.
+
+    Names all of whose words are given names keep their order, as it tells which is the surname.
+    """
+    s = fold(name)
+    if re.search(r"[\"“”]", s):
+        return None
+    head, comma, tail = re.sub(r"['’\-]", "", s).partition(",")
+    words = [t for t in re.split(r"[\s.]+", f"{tail} {head}" if comma else head) if len(t) > 1 and t not in HONORIFICS]
+    if len(words) < 2:
+        return None
+    whole = [_GIVEN.get(w, w) for w in words]
+    return Form("P", "", "".join(whole), orders=() if all(w in _GIVEN for w in words) else orders(whole))
+
+
+def chinese_form(s: str, simple: Mapping[int, str] = SIMPLE) -> Form | None:
+    s = re.sub(r"\s+", "", s).translate(simple)
     share = "(股份)" in s
     s = re.sub(r"\([^)]*\)", "", s)
     end = ZH_LEGAL.search(s)
@@ -136,10 +183,10 @@ def chinese_form(s: str) -> Form | None:
     return Form("o", "", s, legal, True) if s else None
 
 
-def organisation_form(name: str) -> Form | None:
+def organisation_form(name: str, simple: Mapping[int, str] = SIMPLE) -> Form | None:
     s = fold(name)
     if _HAN.search(s):
-        return chinese_form(s)
+        return chinese_form(s, simple)
     s = re.sub(r"['’\"]", "", s)
     s = re.sub(r"\b(?:[a-z]\.){2,}", lambda m: m.group().replace(".", "") + " ", s)
     s = re.sub(r"\boil\s*(?:and|&)\s*gas\b|\bo\s*&\s*g\b", " oilgas ", s)
@@ -161,19 +208,23 @@ def organisation_form(name: str) -> Form | None:
         return None
     if legal == {"co"}:
         legal = set()
-    return Form("o", "+".join(sorted(classes)), core, "+".join(sorted(legal - {""})), brief or not classes)
+    return Form("o", "+".join(sorted(classes)), core, "+".join(sorted(legal - {""})), brief or not classes, orders(rest))
 
 
-def forms(name: str | None, aliases: list[str | None] | None, node_type: str | None) -> list[Form]:
+def forms(name: str | None, aliases: list[str | None] | None, node_type: str | None, simple: Mapping[int, str] = SIMPLE) -> list[Form]:
     """Distinct forms of a record; weak ones only if it has no other."""
     found: dict[Form, None] = {}
+    words: dict[Form, None] = {}
     for text in [name, *(aliases or [])]:
         if text and text.strip():
-            form = person_form(text) if node_type == "person" and not _HAN.search(text) else organisation_form(text)
+            person = node_type == "person" and not _HAN.search(text)
+            form = person_form(text) if person else organisation_form(text, simple)
             if form:
                 found[form] = None
+            if person and form and not form.weak and (whole := person_words(text)):
+                words[whole] = None
     strong = [f for f in found if not f.weak]
-    return strong or list(found)
+    return [*(strong or found), *words]
 
 
 def clean_ticker(ticker: str | None) -> str | None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.name_forms import NICKNAMES, clean_ticker, forms, osa
+from lodestrata.llm.name_forms import NICKNAMES, clean_ticker, forms, simple_signs
 from lodestrata.operators.components import both_ways, minimum_labels
 from lodestrata.session import Workspace
 
@@ -21,6 +21,8 @@ SHARD = 4000
 EXPAND = 1000
 #: Two edits are allowed for cores of this length if one of the spellings occurs in one record, copies of it aside.
 LONG = 8
+#: Two edits are allowed in surnames of this length.
+SURNAME = 6
 #: Parts of up to this many letters meet by what one letter less leaves.
 SHORT = 4
 #: Letters of a brief form (a surname, or a core without line of business) that may have an edit.
@@ -63,24 +65,45 @@ class Trie:
                     yield child, now[-1]
 
 
+def _window(length: int, kind: str) -> int:
+    """Letters of the ends of which one keeps all but one when a name of this length has two edits; 0 if two are not allowed."""
+    if kind == "p":
+        return min(4, length // 2) if length >= SURNAME else 0
+    return 0 if length < LONG else 4 if length < 10 else 5
+
+
 def shards(kind: str, cls: str, core: str) -> list[str]:
-    """Tries a name goes into: those of its first and of its last letters.
-
-    One edit leaves the first or the last letters alone, so two names one edit apart
-    meet.  Of parts of up to four letters it may leave neither (kim and kym, chen and
-    cehn); they also go by what is left when one letter is taken out, which any two of
-    them one edit apart share, and which takes few names together.  Persons go by
-    surname, short ones with the given name, as that has no edit if the surname has
-    one; a class is part of the shard, since firms of another line of business are
-    others.  Chinese cores of up to three signs take no replaced or swapped sign, so
-    their ends suffice.
+    """Tries a name goes into, so that all names within the allowed edits meet.
+
+    One edit leaves the first or the last letters alone.  Of parts of up to four
+    letters it may leave neither (kim and kym, chen and cehn); they also go by what is
+    left when one letter is taken out, which any two of them one edit apart share, and
+    which takes few names together.  Two edits leave at most one in the first letters
+    or in the last ones: long names go by the first and by the last letters with each
+    of them taken out in turn, in the window of the shorter of two names.
+
+    Persons go by surname, with the given name where that has no edit: in short
+    surnames and under two edits.  A class is part of the shard, since firms of
+    another line of business are others.  Chinese cores of up to three signs take no
+    replaced or swapped sign, so their ends suffice.
     """
     given, _, part = core.rpartition(" ")
     wide = ord(part[0]) >= 0x3400
-    sizes = ([1] if len(part) <= 5 else []) + ([2] if len(part) >= 5 else []) if wide else ([2] if len(part) <= 7 else []) + ([3] if len(part) >= 6 else [])
-    ends = [f"{kind}|{cls}|{where}{n}|{piece}" for n in sizes for where, piece in (("<", part[:n]), (">", part[-n:]))]
-    less = [part, *(part[:i] + part[i + 1 :] for i in range(len(part)))] if len(part) <= SHORT and not wide else []
-    return list(dict.fromkeys(ends + [f"{kind}|{cls}|-|{given}|{piece}" for piece in less]))
+    if wide:
+        sizes = ([1] if len(part) <= 5 else []) + ([2] if len(part) >= 5 else [])
+    else:
+        sizes = ([2] if len(part) <= 7 else []) + ([3] if len(part) >= 6 and (kind == "p" or len(part) <= LONG) else [])
+    keys = [f"{kind}|{cls}|{where}{n}|{piece}" for n in sizes for where, piece in (("<", part[:n]), (">", part[-n:]))]
+    if wide:
+        return keys
+    if len(part) <= SHORT:
+        keys += [f"{kind}|{cls}|-|{given}|{piece}" for piece in (part, *(part[:i] + part[i + 1 :] for i in range(len(part))))]
+    for n in {_window(len(part) - less, kind) for less in range(3)} - {0}:
+        first, last = part[:n], part[-n:]
+        for i in range(n):
+            keys.append(f"{kind}|{cls}|({n}|{given}|{first[:i]}{first[i + 1 :]}")
+            keys.append(f"{kind}|{cls}|){n}|{given}|{last[:i]}{last[i + 1 :]}")
+    return list(dict.fromkeys(keys))
 
 
 def same_entity(kind: str, a: tuple, b: tuple, edits: int) -> bool:
@@ -90,7 +113,7 @@ def same_entity(kind: str, a: tuple, b: tuple, edits: int) -> bool:
     the number of records of different content, so that a row found again changes nothing.
     Tickers that contradict tell firms apart, and so do legal forms or middle initials.
     One edit suffices otherwise, of Chinese cores if one has at most two such records;
-    two edits only for long cores of which one has one.  Given names that
+    two edits only for long cores, and long surnames, of which one has one.  Given names that
     are both well known are never variants of each other, and of Chinese cores of
     three signs none may be replaced.
     """
@@ -104,7 +127,7 @@ def same_entity(kind: str, a: tuple, b: tuple, edits: int) -> bool:
         gx, gy = x.partition(" ")[0], y.partition(" ")[0]
         if gx != gy and gx in NICKNAMES and gy in NICKNAMES:
             return False
-        if edits == 2 and gx != gy:
+        if edits == 2 and (gx != gy or min(len(x.rpartition(" ")[2]), len(y.rpartition(" ")[2])) < SURNAME):
             return False
     if edits <= 1:
         return not clash and (min(nx, ny) <= 2 or ord(x[-1]) < 0x3400)
@@ -125,55 +148,72 @@ def same_brief(kind: str, a: tuple, b: tuple, edits: int) -> bool:
     return same_entity(kind, a, b, edits)
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "kind", "cls", "core", "legal", "weak", "ticker", "content"]
-    for batch in batches:
-        rows: list[tuple] = []
-        for i, name, kind, ticker, aliases in zip(*(batch[c].to_pylist() for c in ("id", "name", "node_type", "ticker", "aliases"))):
-            code = clean_ticker(ticker) if kind != "person" else None
-            content = blake2b(repr((name, kind, ticker, aliases)).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-            rows += [(i, f.kind, f.cls, f.core, f.legal, f.weak, code, content) for f in forms(name, aliases, kind)]
-            if code:
-                rows.append((i, "t", "", code, "", False, code, content))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.bool_() if n == "weak" else pa.string()) if rows else pa.array([], pa.bool_() if n == "weak" else pa.string()) for n, c in zip(names, zip(*rows) if rows else [[]] * len(names))], names)
+def _forms(simple: dict[int, str]):
+    names = ["id", "kind", "cls", "core", "legal", "weak", "orders", "ticker", "content"]
+    types = [pa.bool_() if n == "weak" else pa.list_(pa.string()) if n == "orders" else pa.string() for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, name, kind, ticker, aliases in zip(*(batch[c].to_pylist() for c in ("id", "name", "node_type", "ticker", "aliases"))):
+                code = clean_ticker(ticker) if kind != "person" else None
+                content = blake2b(repr((name, kind, ticker, aliases)).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+                rows += [(i, f.kind, f.cls, f.core, f.legal, f.weak, f.orders, code, content) for f in forms(name, aliases, kind, simple)]
+                if code:
+                    rows.append((i, "t", "", code, "", False, (), code, content))
+            columns = zip(*rows) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+    return run
+
+
+_SHARD = ("shard", "kind", "hub", "core", "n", "legal", "tickers", "word", "query")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each name in all its shards: as a word of the trie and to be looked up, and in other orders of its words to be looked up."""
     for batch in batches:
-        kinds, classes, cores = (batch[c].to_pylist() for c in ("kind", "cls", "core"))
-        where, take = [], []
-        for i, (k, c, x) in enumerate(zip(kinds, classes, cores)):
-            for shard in shards(k, c, x):
-                where.append(shard)
-                take.append(i)
+        where, what, kinds, take = [], [], [], []
+        for i, (k, c, x, others) in enumerate(zip(*(batch[n].to_pylist() for n in ("kind", "cls", "core", "orders")))):
+            for query in (x, *(others or ())):
+                for shard in shards(k, c, query):
+                    where.append(shard)
+                    what.append(query)
+                    kinds.append(query is x)
+                    take.append(i)
         rows = batch.take(pa.array(take, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(where, pa.string()), *rows.columns], ["shard", *batch.schema.names])
+        columns = [pa.array(where, pa.string()), *(rows[n] for n in _SHARD[1:7]), pa.array(kinds, pa.bool_()), pa.array(what, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, list(_SHARD))
+
+
+def _lookups(rows: list[tuple]) -> Iterator[tuple[tuple, tuple, str, int]]:
+    """``(row, word's row, query, edits)`` of a shard: what each row's query finds in the trie of the words."""
+    known: dict[str, tuple] = {r[3]: r for r in rows if r[7]}
+    trie = Trie(list(known))
+    for row in rows:
+        kind, core, word, query = row[1], row[3], row[7], row[8]
+        if word and kind == "P":
+            continue  # whole names in their own order are found by given name and surname
+        for other, edits in trie.within(query, _most(query)):
+            if other != core:
+                yield row, known[other], query, edits
 
 
 def _join_shard(rows: list[tuple], out: list) -> None:
     if len(rows) < 2:
         return
-    known: dict[str, tuple] = {r[3]: r for r in rows}
-    trie = Trie(list(known))
-    for _, kind, hub, core, n, legal, tickers in rows:
-        for other, edits in trie.within(core, _most(core)):
-            if other > core:
-                _, _, hub2, _, n2, legal2, tickers2 = known[other]
-                if same_entity(kind, (core, n, legal, tickers), (other, n2, legal2, tickers2), edits):
-                    out.append((hub, hub2))
+    for row, found, query, edits in _lookups(rows):
+        if (found[3] > row[3] or not row[7]) and same_entity(row[1], (query, *row[4:7]), (found[3], *found[4:7]), edits):
+            out.append((row[2], found[2]))
 
 
 def _join_brief_shard(rows: list[tuple], out: list) -> None:
     """Pairs of close brief forms, at least one of them weak; ``hub`` tells ``w`` for weak."""
-    known: dict[str, tuple] = {r[3]: r for r in rows}
-    if len(known) < 2 or all(r[2] != "w" for r in rows):
+    if len(rows) < 2 or all(r[2] != "w" for r in rows):
         return
-    trie = Trie(list(known))
-    for _, kind, state, core, n, _, tickers in rows:
-        if state == "w":
-            for other, edits in trie.within(core, _most(core)):
-                if other != core and same_brief(kind, (core, n, [], tickers), (other, known[other][4], [], known[other][6]), edits):
-                    out += [(kind + core, kind + other), (kind + other, kind + core)]
+    for row, found, query, edits in _lookups(rows):
+        if (row[2] == "w" or found[2] == "w") and same_brief(row[1], (query, row[4], [], row[6]), (found[3], found[4], [], found[6]), edits):
+            out += [(row[1] + row[3], row[1] + found[3]), (row[1] + found[3], row[1] + row[3])]
 
 
 def _most(core: str) -> int:
@@ -185,7 +225,7 @@ def _join_tries(batches: Iterator[pa.RecordBatch], join=_join_shard) -> Iterator
     rows: list[tuple] = []
     for batch in batches:
         out: list[tuple] = []
-        for row in zip(*(batch[c].to_pylist() for c in ("shard", "kind", "hub", "core", "n", "legal", "tickers"))):
+        for row in zip(*(batch[c].to_pylist() for c in _SHARD)):
             if rows and rows[-1][0] != row[0]:
                 join(rows, out)
                 rows = []
@@ -214,18 +254,25 @@ def _blocks(ws: Workspace, spread: DataFrame) -> DataFrame:
 
 def _close(ws: Workspace, spellings: DataFrame, join) -> DataFrame:
     """``(src, dst)`` links that ``join`` finds among spellings in the same shard."""
-    shape = "shard string, kind string, cls string, core string, hub string, n long, legal array<string>, tickers array<string>"
+    shape = "shard string, kind string, hub string, core string, n long, legal array<string>, tickers array<string>, word boolean, query string"
     spread = ws.save(spellings.mapInArrow(_spread, shape), "spread")
     placed = _blocks(ws, spread).repartition("shard").sortWithinPartitions("shard")
     return placed.mapInArrow(join, "src string, dst string")
 
 
+def _orders() -> F.Column:
+    """The orders of the words of a core; those of one core differ only where it was written with other blanks."""
+    return F.array_distinct(F.flatten(F.collect_set("orders"))).alias("orders")
+
+
 def entity_groups(nodes: DataFrame) -> DataFrame:
     """``(node, label)`` for every record that has a variant: label is the smallest id of its entity.
 
     Every record is known by the forms of its name and aliases.  Records with an
     equal form, or an equal ticker, are linked through the smallest id among them;
-    different spellings are linked by the trie join.  A weak form (no line of
+    different spellings are linked by the trie join, in which the words of a name are
+    also looked up in other orders.  Lines of business and legal forms are evidence:
+    a name without any enters the tries too.  A weak form (no line of
     business, or initials for given names) is used only if the record has no other,
     and only if the records it fits, by an equal form or else by a close one, are of
     one entity.  Linked records form entities.
@@ -236,16 +283,17 @@ def entity_groups(nodes: DataFrame) -> DataFrame:
     """
     ws = Workspace(nodes.sparkSession, "names")
     slim = nodes.where(F.col("node_type").isin(*TYPES) & F.col("id").isNotNull()).select("id", "name", "node_type", "ticker", "aliases")
-    found = slim.mapInArrow(_forms, "id string, kind string, cls string, core string, legal string, weak boolean, ticker string, content string").distinct()
+    shape = "id string, kind string, cls string, core string, legal string, weak boolean, orders array<string>, ticker string, content string"
+    found = slim.mapInArrow(_forms(simple_signs(nodes.sparkSession)), shape).distinct()
     found = ws.save(found, "forms")
     strong = found.where("not weak")
     key = ["kind", "cls", "core"]
     # per spelling: its smallest id stands for it; minima and counts are combined before the shuffle
     legal = F.collect_set(F.when(F.col("legal") != "", F.col("legal"))).alias("legal")
-    spellings = ws.save(strong.groupBy(*key).agg(F.min("id").alias("hub"), (F.min("id") != F.max("id")).alias("several"), F.countDistinct("content").alias("n"), legal, F.collect_set("ticker").alias("tickers")), "spellings")
-    equal = strong.join(spellings.where("several").select(*key, "hub"), key).select(F.col("hub").alias("src"), F.col("id").alias("dst"))
+    spellings = ws.save(strong.groupBy(*key).agg(F.min("id").alias("hub"), (F.min("id") != F.max("id")).alias("several"), F.countDistinct("content").alias("n"), legal, F.collect_set("ticker").alias("tickers"), _orders()), "spellings")
+    equal = strong.join(spellings.where("several and kind <> 'P'").select(*key, "hub"), key).select(F.col("hub").alias("src"), F.col("id").alias("dst"))
 
-    spread = spellings.where("kind <> 't'").select("kind", "cls", "core", "hub", "n", "legal", "tickers")
+    spread = spellings.where("kind <> 't'").select("kind", "cls", "core", "hub", "n", "legal", "tickers", "orders")
     close = _close(ws, spread, _join_tries)
     links = ws.save(equal.unionByName(close).distinct(), "links")
     labels = minimum_labels(ws, ws.save(both_ways(links), "arcs"))
@@ -262,7 +310,7 @@ def _attach_weak(ws: Workspace, found: DataFrame, labels: DataFrame) -> DataFram
     contradict.  A unit is left alone if what it fits is of several entities, or of
     several legal forms.
     """
-    entity = found.join(labels, F.col("id") == F.col("node"), "left").where("kind <> 't'").select("id", "kind", "core", "legal", "weak", "ticker", "content", F.coalesce("label", "id").alias("label"))
+    entity = found.join(labels, F.col("id") == F.col("node"), "left").where("kind not in ('t', 'P')").select("id", "kind", "core", "legal", "weak", "orders", "ticker", "content", F.coalesce("label", "id").alias("label"))
     surname = F.substring_index("core", " ", -1)
     reduced = F.when((F.col("kind") == "p") & ~F.col("weak"), F.concat_ws(" ", F.substring("core", 1, 1), surname)).otherwise(F.col("core"))
     entity = ws.save(entity.withColumn("brief", reduced), "briefs")
@@ -273,8 +321,8 @@ def _attach_weak(ws: Workspace, found: DataFrame, labels: DataFrame) -> DataFram
     units = ws.save(weak.groupBy(*unit).agg(F.min("w").alias("hub")), "units")
 
     state = F.when(F.max("weak"), "w").otherwise("s").alias("hub")
-    briefs = entity.groupBy("kind", F.lit("").alias("cls"), F.col("brief").alias("core")).agg(state, F.countDistinct("content").alias("n"), F.array().cast("array<string>").alias("legal"), F.collect_set("ticker").alias("tickers"))
-    pairs = _close(ws, briefs.select("kind", "cls", "core", "hub", "n", "legal", "tickers"), partial(_join_tries, join=_join_brief_shard))
+    briefs = entity.groupBy("kind", F.lit("").alias("cls"), F.col("brief").alias("core")).agg(state, F.countDistinct("content").alias("n"), F.array().cast("array<string>").alias("legal"), F.collect_set("ticker").alias("tickers"), _orders())
+    pairs = _close(ws, briefs.select("kind", "cls", "core", "hub", "n", "legal", "tickers", "orders"), partial(_join_tries, join=_join_brief_shard))
     near = ws.save(pairs.select(F.substring("src", 1, 1).alias("kind"), F.expr("substring(src, 2)").alias("brief"), F.expr("substring(dst, 2)").alias("other")).distinct(), "near")
 
     fits = F.col("kind").eqNullSafe("o") | (F.col("mid") == "") | (F.col("legal") == "") | (F.col("mid") == F.col("legal"))
