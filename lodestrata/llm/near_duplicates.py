@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -19,14 +18,17 @@ from lodestrata.session import Workspace
 STRETCH = 5
 #: Trees of the forest; a label has LEVELS values of BITS bits, a pair of similarity s shares d of them with chance s**d.
 TREES, LEVELS, BITS = 14, 5, 12
-#: Depth at which neighbours are compared; a region with more rows than REGION goes one level deeper.
-DEPTH, REGION = 3, 1024
+#: Neighbours share a prefix of at least SHALLOW values; a region with more rows than REGION takes DEPTH values, and one
+#: that still has more than BLOCK is compared block by block.  Depth never exceeds DEPTH, so crowding costs no recall.
+SHALLOW, DEPTH, REGION, BLOCK = 2, 3, 1024, 4096
 #: One in SAMPLE records is counted to find such regions; it decides depths only, every record is compared.
 SAMPLE = 16
 #: A sketch of 128 one-bit values must not be further below the threshold than this (3.5 standard deviations).
 SKETCH_BITS, MARGIN = 128, 0.25
 #: Classes of exact copies up to this size are expanded into all pairs, larger ones into pairs with their first member.
-EXPAND = 1000
+EXPAND = 200
+#: Texts, and characters of texts, of a block whose pairs are checked together.
+CHECKED, CHECKED_CHARS = 128, 1_000_000
 _CHARS = 500_000
 _NOT_WORD = re.compile(r"[\W_]+")
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -142,24 +144,73 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of candidate pairs; sets of texts met lately are kept."""
-    kept: OrderedDict[int, frozenset[str]] = OrderedDict()
+def _common(texts: dict[int, str], pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Per pair of texts: the stretches of both, of the first, of the second."""
+    if len(pairs) < 4 * len(texts):
+        sets = {n: stretches(t) for n, t in texts.items()}
+        for a, b in pairs:
+            yield len(sets[a] & sets[b]), len(sets[a]), len(sets[b])
+        return
+    # many pairs of few texts: one product of the matrix text x stretch, in columns that fit into memory
+    place: dict[str, int] = {}
+    columns = [np.fromiter({place.setdefault(x, len(place)) for x in stretches(t)}, np.int64) for t in texts.values()]
+    row = {n: i for i, n in enumerate(texts)}
+    both = np.zeros((len(texts), len(texts)), np.float32)
+    owner = np.repeat(np.arange(len(texts)), [len(c) for c in columns])
+    flat = np.concatenate(columns)
+    for lo in range(0, len(place), 8192):
+        inside = (flat >= lo) & (flat < lo + 8192)
+        part = np.zeros((len(texts), min(8192, len(place) - lo)), np.float32)
+        part[owner[inside], flat[inside] - lo] = 1
+        both += part @ part.T
+    for a, b in pairs:
+        i, j = row[a], row[b]
+        yield int(both[i, j]), len(columns[i]), len(columns[j])
+
+
+def _check(texts: dict[int, tuple[str, float]], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    least = {n: t for n, (_, t) in texts.items()}
+    plain = {n: t for n, (t, _) in texts.items()}
+    kept = [p for p, (both, x, y) in zip(pairs, _common(plain, pairs)) if both and both / (x + y - both) >= least[p[0]]]
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
 
-    def of(number: int, text: str) -> frozenset[str]:
-        if number not in kept:
-            kept[number] = stretches(text)
-            if len(kept) > 500:
-                kept.popitem(last=False)
-        return kept[number]
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact similarity of candidate pairs; rows come sorted by block, first the texts of a block, then its pairs."""
+    at, texts, pairs = None, {}, []
     for batch in batches:
-        keep = []
-        for a, ta, b, tb, least in zip(*(batch[c].to_pylist() for c in ("a", "ta", "b", "tb", "threshold"))):
-            x, y = of(a, ta), of(b, tb)
-            both = len(x & y)
-            keep.append(bool(both) and both / (len(x) + len(y) - both) >= least)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for block, a, b, text, least in zip(*(batch[c].to_pylist() for c in ("block", "a", "b", "text", "threshold"))):
+            if block != at:
+                if pairs:
+                    yield _check(texts, pairs)
+                at, texts, pairs = block, {}, []
+            if b is None:
+                texts[a] = (text, least)
+            else:
+                pairs.append((a, b))
+    if pairs:
+        yield _check(texts, pairs)
+
+
+def _verified(ws: Workspace, candidates: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The pairs of candidates that reach the threshold.
+
+    Texts are not shipped once per pair: texts with the same smallest candidate form a
+    family, families are cut into blocks, and a text goes once to each pair of blocks
+    in which it has a pair.
+    """
+    ways = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("no"), F.col("b").alias("other")), F.struct(F.col("b").alias("no"), F.col("a").alias("other")))).alias("x")).select("x.*")
+    family = ws.save(ways.groupBy("no").agg(F.min("other").alias("m")).select("no", F.least("no", "m").alias("family")), "families")
+    sized = family.join(prepared.select("no", F.length("text").alias("chars")), "no")
+    cuts = sized.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHECKED, F.sum("chars") / CHECKED_CHARS)).cast("int").alias("cuts"))
+    placed = family.join(cuts, "family").select("no", F.xxhash64("family", F.pmod(F.xxhash64("no"), "cuts")).alias("place"))
+    placed = ws.save(placed, "places")
+    a, b = placed.toDF("a", "pa"), placed.toDF("b", "pb")
+    pairs = ws.save(candidates.join(a, "a").join(b, "b").select(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("block"), "a", "b"), "placed")
+    wanted = pairs.select("block", F.explode(F.array("a", "b")).alias("no")).distinct()
+    texts = prepared.select("no", "threshold", "text").join(wanted, "no").select("block", F.col("no").alias("a"), F.lit(None).cast("long").alias("b"), "text", "threshold")
+    rows = texts.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("threshold")))
+    return rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first(), "a").mapInArrow(_verify, "a long, b long")
 
 
 def _region(depth: int) -> F.Column:
@@ -167,29 +218,27 @@ def _region(depth: int) -> F.Column:
 
 
 def _place(ws: Workspace, rows: DataFrame) -> DataFrame:
-    """Give every (record, tree) row its region: as shallow as its surroundings allow.
+    """Give every (record, tree) row its region: a shallow one where few rows share the prefix, a deeper one where many do.
 
     Regions that are too large at a depth are found on a sample; they are few, as
     each has many rows, and the join with them is broadcast only if Spark finds
-    their table small.  Regions too large at the last level are cut into blocks, and
+    their table small.  Regions too large at full depth are cut into blocks, and
     each row goes to all pairs of blocks with its own, so that no pair is lost.
     """
     sampled = rows.where(F.pmod(F.xxhash64("no"), F.lit(SAMPLE)) == 0)
-    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _region(d).alias("region")) for d in range(DEPTH, LEVELS + 1)]))
-    crowded = sampled.select(depths.alias("x")).select("x.*").groupBy("depth", "region").agg((F.count(F.lit(1)) * SAMPLE).alias("n")).where(F.col("n") > REGION)
+    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _region(d).alias("region"), F.lit(most).alias("most")) for d, most in ((SHALLOW, REGION), (DEPTH, BLOCK))]))
+    crowded = sampled.select(depths.alias("x")).select("x.*").groupBy("depth", "region", "most").agg((F.count(F.lit(1)) * SAMPLE).alias("n")).where(F.col("n") > F.col("most"))
     crowded = ws.save(crowded, "crowded")
+    shallow = rows.withColumn("region", _region(SHALLOW))
     if crowded.isEmpty():
-        return rows.withColumn("region", _region(DEPTH))
-    placed = rows.withColumn("region", _region(DEPTH)).withColumn("_open", F.lit(True))
-    for depth in range(DEPTH, LEVELS):
-        here = crowded.where(F.col("depth") == depth).select("region", F.lit(True).alias("_full"))
-        placed = placed.join(here, "region", "left").withColumn("_open", F.col("_open") & F.coalesce("_full", F.lit(False)))
-        placed = placed.withColumn("region", F.when(F.col("_open"), _region(depth + 1)).otherwise(F.col("region"))).drop("_full")
-    last = crowded.where(F.col("depth") == LEVELS).select("region", F.ceil(F.col("n") / REGION).cast("int").alias("_blocks"))
+        return shallow
+    deeper = crowded.where(F.col("depth") == SHALLOW).select("region", F.lit(True).alias("_full"))
+    placed = shallow.join(deeper, "region", "left").withColumn("region", F.when(F.col("_full"), _region(DEPTH)).otherwise(F.col("region"))).drop("_full")
+    last = crowded.where(F.col("depth") == DEPTH).select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks"))
     placed = placed.join(last, "region", "left").withColumn("_block", F.pmod(F.xxhash64("no", F.lit(7)), F.coalesce("_blocks", F.lit(1))).cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)))
     blocks = F.xxhash64("region", F.least("_block", "_other"), F.greatest("_block", "_other"))
-    return placed.withColumn("region", F.when(F.col("_blocks").isNotNull(), blocks).otherwise(F.col("region"))).drop("_open", "_blocks", "_block", "_other")
+    return placed.withColumn("region", F.when(F.col("_blocks").isNotNull(), blocks).otherwise(F.col("region"))).drop("_blocks", "_block", "_other")
 
 
 def prepare(ws: Workspace, records: DataFrame, checks: DataFrame) -> DataFrame:
@@ -213,10 +262,12 @@ def similar_classes(records: DataFrame, checks: DataFrame) -> tuple[DataFrame, D
     shorter than a stretch are similar to nothing: their class is null.
 
     LSH forest: a tree orders the records by a label of min-hash values, in which
-    records with a long common prefix are neighbours.  All neighbours that share the
-    prefix of a region are compared by their sketches; crowded regions use a longer
-    prefix.  Candidates are then checked exactly.  A pair of similarity s is missed
-    with chance (1 - s**3) ** 14, 0.3 % for s = 0.7, less above.
+    records with a long common prefix are neighbours.  Each tree is sorted by its
+    labels, and all neighbours whose common prefix has the depth of their region are
+    compared by their sketches: two values where few rows share them, three where
+    many do.  Candidates are then checked exactly.  A pair of similarity s is missed
+    with chance (1 - s**3) ** 14 at most, 0.3 % for s = 0.7, and less above and
+    outside crowded regions, (1 - s**2) ** 14.
     """
     ws = Workspace(records.sparkSession, "near-duplicates")
     prepared = prepare(ws, records, checks)
@@ -228,15 +279,9 @@ def similar_classes(records: DataFrame, checks: DataFrame) -> tuple[DataFrame, D
 
     firsts = prepared.where(long_enough).select("no", "info_type", "threshold", "labels", "s1", "s2").join(copies.where("no <> class"), "no", "left_anti")
     rows = firsts.select("no", "info_type", (F.col("threshold") - MARGIN).alias("least"), "s1", "s2", F.posexplode("labels").alias("tree", "label"))
-    sorted_ = _place(ws, rows).select("region", "s1", "s2", "no", "least").repartition("region").sortWithinPartitions("region")
-    candidates = ws.save(sorted_.mapInArrow(_neighbours, "a long, b long").distinct(), "candidates")
-
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    texts = ws.save(prepared.select("no", "threshold", "text").join(wanted, "no", "left_semi"), "texts")
-    ta = texts.select(F.col("no").alias("a"), "threshold", F.col("text").alias("ta"))
-    tb = texts.select(F.col("no").alias("b"), F.col("text").alias("tb"))
-    joined = candidates.join(ta, "a").join(tb, "b").select("a", "ta", "b", "tb", "threshold")
-    return ws.save(members, "members"), ws.save(joined.mapInArrow(_verify, "a long, b long"), "pairs")
+    ordered = _place(ws, rows).select("region", "label", "s1", "s2", "no", "least").repartition("region").sortWithinPartitions("region", "label")
+    candidates = ws.save(ordered.mapInArrow(_neighbours, "a long, b long").distinct(), "candidates")
+    return ws.save(members, "members"), ws.save(_verified(ws, candidates, prepared), "pairs")
 
 
 def similar_pairs(records: DataFrame, checks: DataFrame, expand: int = EXPAND) -> DataFrame:

@@ -139,12 +139,31 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_crowded_regions_lose_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(nd, "REGION", 20)
+    monkeypatch.setattr(nd, "BLOCK", 30)
+    monkeypatch.setattr(nd, "CHECKED", 16)
     monkeypatch.setattr(nd, "SAMPLE", 1)
     data = [(f"i{i:03d}", None, "the same long text about retail deposits and freight contracts in every record " * 3 + f"{i:03d}", "news", 1, "") for i in range(90)]
     checks = spark.createDataFrame(CHECKS, "info_type string, threshold double")
     assert rows(nd.similar_pairs(spark.createDataFrame(data, RECORDS), checks)) == brute_pairs(data)
 
 
+def test_crowd_of_variants_keeps_its_recall(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(120)]
+    data = []
+    for i in range(1500):
+        words = list(base)
+        for at in rng.sample(range(120), 7):
+            words[at] = "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+        data.append((f"i{i:05d}", None, " ".join(words), "other", 1, ""))
+    checks = spark.createDataFrame(CHECKS, "info_type string, threshold double")
+    got = {tuple(r) for r in nd.similar_pairs(spark.createDataFrame(data, RECORDS), checks).collect()}
+    sets = [nd.stretches(nd.normal_text(r[1], r[2])) for r in data[:300]]
+    want = {(data[i][0], data[j][0]) for i in range(300) for j in range(i + 1, 300) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7}
+    own = {p for p in got if p[1] < "i00300"}
+    assert len(want) > 10_000 and own <= want and len(own) >= 0.99 * len(want)
+
+
 # ---- encoding
 def test_encoding_equals_public_tokenizer(spark):
     tokenizers = pytest.importorskip("tokenizers")
