@@ -107,8 +107,11 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
 
 
-def _compare(key, s1, s2, no, limit) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with equal key whose sketches are close enough; rows are sorted by key."""
+def _compare(key, s1, s2, no, limit, earlier) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with equal key whose sketches are close enough; rows are sorted by key.
+
+    ``earlier`` has the prefixes of the trees before, of rows in crowded regions: two rows that share one have met there.
+    """
     left, right = [], []
     at = np.arange(len(key))
     step = 0
@@ -120,18 +123,31 @@ def _compare(key, s1, s2, no, limit) -> tuple[np.ndarray, np.ndarray]:
         # unsigned: of a negative number numpy counts the bits of its absolute value
         apart = sum(np.bitwise_count((s[at] ^ s[other]).view(np.uint64)) for s in (s1, s2))
         near = (1 - 2 * apart.astype(np.float64) / SKETCH_BITS >= limit[at]) & (no[at] != no[other])
-        left.append(no[at[near]])
-        right.append(no[other[near]])
+        x, y = at[near], other[near]
+        fresh = ~(earlier[x] == earlier[y]).any(1)
+        left.append(no[x[fresh]])
+        right.append(no[y[fresh]])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def _earlier(column: pa.ListArray, no: np.ndarray) -> np.ndarray:
+    """The prefixes in rows of TREES places; a place without prefix is unlike that of any other record."""
+    out = np.repeat((-1 - no)[:, None], TREES, 1)
+    if column.null_count < len(column):
+        sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        row = np.repeat(np.arange(len(no)), sizes)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = column.flatten().to_numpy()
+    return out
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates among rows sorted by region; a region's rows may lie in several batches."""
     names = ["region", "s1", "s2", "no", "least"]
     rest = None
     for batch in batches:
         now = [batch[n].to_numpy() for n in names]
+        now.append(_earlier(batch["earlier"], now[3]))
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now)]
         cut = _runs(now[0])[-2] if len(now[0]) else 0
@@ -144,35 +160,36 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _common(texts: dict[int, str], pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    """Per pair of texts: the stretches of both, of the first, of the second."""
-    if len(pairs) < 4 * len(texts):
-        sets = {n: stretches(t) for n, t in texts.items()}
-        for a, b in pairs:
-            yield len(sets[a] & sets[b]), len(sets[a]), len(sets[b])
-        return
-    # many pairs of few texts: one product of the matrix text x stretch, in columns that fit into memory
+def _shared(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of common stretches of all texts with each other, and of the stretches of each: one product of the
+    matrix text x stretch, in columns that fit into memory."""
     place: dict[str, int] = {}
-    columns = [np.fromiter({place.setdefault(x, len(place)) for x in stretches(t)}, np.int64) for t in texts.values()]
-    row = {n: i for i, n in enumerate(texts)}
+    columns = [np.fromiter({place.setdefault(x, len(place)) for x in stretches(t)}, np.int64) for t in texts]
+    size = np.array([len(c) for c in columns])
     both = np.zeros((len(texts), len(texts)), np.float32)
-    owner = np.repeat(np.arange(len(texts)), [len(c) for c in columns])
-    flat = np.concatenate(columns)
+    owner, flat = np.repeat(np.arange(len(texts)), size), np.concatenate(columns)
     for lo in range(0, len(place), 8192):
         inside = (flat >= lo) & (flat < lo + 8192)
         part = np.zeros((len(texts), min(8192, len(place) - lo)), np.float32)
         part[owner[inside], flat[inside] - lo] = 1
         both += part @ part.T
-    for a, b in pairs:
-        i, j = row[a], row[b]
-        yield int(both[i, j]), len(columns[i]), len(columns[j])
+    return both, size
 
 
 def _check(texts: dict[int, tuple[str, float]], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    least = {n: t for n, (_, t) in texts.items()}
-    plain = {n: t for n, (t, _) in texts.items()}
-    kept = [p for p, (both, x, y) in zip(pairs, _common(plain, pairs)) if both and both / (x + y - both) >= least[p[0]]]
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
+    a, b = (np.array(x, np.int64) for x in zip(*pairs))
+    if len(pairs) < 4 * len(texts):
+        sets = {n: stretches(t) for n, (t, _) in texts.items()}
+        both = np.array([len(sets[x] & sets[y]) for x, y in pairs])
+        size_a, size_b = (np.array([len(sets[n]) for n in side]) for side in (a.tolist(), b.tolist()))
+    else:  # many pairs of few texts
+        row = {n: i for i, n in enumerate(texts)}
+        i, j = (np.array([row[n] for n in side]) for side in (a.tolist(), b.tolist()))
+        shared, size = _shared([t for t, _ in texts.values()])
+        both, size_a, size_b = shared[i, j].astype(np.int64), size[i], size[j]
+    least = np.array([texts[n][1] for n in a.tolist()])
+    kept = (both > 0) & (both / np.maximum(size_a + size_b - both, 1) >= least)
+    return pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +246,13 @@ def _place(ws: Workspace, rows: DataFrame) -> DataFrame:
     depths = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _region(d).alias("region"), F.lit(most).alias("most")) for d, most in ((SHALLOW, REGION), (DEPTH, BLOCK))]))
     crowded = sampled.select(depths.alias("x")).select("x.*").groupBy("depth", "region", "most").agg((F.count(F.lit(1)) * SAMPLE).alias("n")).where(F.col("n") > F.col("most"))
     crowded = ws.save(crowded, "crowded")
-    shallow = rows.withColumn("region", _region(SHALLOW))
+    shallow = rows.withColumn("region", _region(SHALLOW)).withColumn("earlier", F.lit(None).cast("array<long>"))
     if crowded.isEmpty():
         return shallow
     deeper = crowded.where(F.col("depth") == SHALLOW).select("region", F.lit(True).alias("_full"))
-    placed = shallow.join(deeper, "region", "left").withColumn("region", F.when(F.col("_full"), _region(DEPTH)).otherwise(F.col("region"))).drop("_full")
+    # rows that crowd know the prefixes of the trees before: a pair is given by the first tree in which it meets
+    earlier = F.transform(F.slice("labels", F.lit(1), F.col("tree")), lambda x: F.shiftright(x, BITS * (LEVELS - DEPTH)))
+    placed = shallow.join(deeper, "region", "left").withColumn("earlier", F.when(F.col("_full"), earlier)).withColumn("region", F.when(F.col("_full"), _region(DEPTH)).otherwise(F.col("region"))).drop("_full")
     last = crowded.where(F.col("depth") == DEPTH).select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks"))
     placed = placed.join(last, "region", "left").withColumn("_block", F.pmod(F.xxhash64("no", F.lit(7)), F.coalesce("_blocks", F.lit(1))).cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)))
@@ -278,8 +297,8 @@ def similar_classes(records: DataFrame, checks: DataFrame) -> tuple[DataFrame, D
     members = prepared.join(copies, "no", "left").select("no", "id", F.when(long_enough, F.coalesce("class", "no")).alias("class"))
 
     firsts = prepared.where(long_enough).select("no", "info_type", "threshold", "labels", "s1", "s2").join(copies.where("no <> class"), "no", "left_anti")
-    rows = firsts.select("no", "info_type", (F.col("threshold") - MARGIN).alias("least"), "s1", "s2", F.posexplode("labels").alias("tree", "label"))
-    ordered = _place(ws, rows).select("region", "label", "s1", "s2", "no", "least").repartition("region").sortWithinPartitions("region", "label")
+    rows = firsts.select("no", "info_type", (F.col("threshold") - MARGIN).alias("least"), "s1", "s2", "labels", F.posexplode("labels").alias("tree", "label"))
+    ordered = _place(ws, rows).select("region", "label", "s1", "s2", "no", "least", "earlier").repartition("region").sortWithinPartitions("region", "label")
     candidates = ws.save(ordered.mapInArrow(_neighbours, "a long, b long").distinct(), "candidates")
     return ws.save(members, "members"), ws.save(_verified(ws, candidates, prepared), "pairs")
 
