@@ -8,7 +8,7 @@ from lodestrata.operators.bitemporal import attached_states
 from lodestrata.operators.hierarchy import descendant_counts, descendants, parent_links, resolve_roots
 from lodestrata.operators.history import build_history, history_rows
 from lodestrata.sources.tables import table
-from lodestrata.streaming.late import corrections, period_revisions
+from lodestrata.streaming.late import corrections, replayed_revisions
 
 
 def p3_found(spark, folder):
@@ -42,18 +42,22 @@ def p5_history(spark, folder):
     return history.select("node_id", "version", "valid_from", "valid_to", F.sha2("core_logic", 256).alias("content_sha"))
 
 
+def _revisions(spark, folder):
+    return replayed_revisions(table(spark, folder, "raw_information"), table(spark, folder, "info_sources"))
+
+
 def p6_found(spark, folder):
-    return corrections(table(spark, folder, "raw_information"), table(spark, folder, "info_sources"))
+    return corrections(_revisions(spark, folder)[0])
 
 
 def p6_issues(spark, folder):
     """All issues of all periods with their counts."""
-    return period_revisions(table(spark, folder, "raw_information"), table(spark, folder, "info_sources"))[0]
+    return _revisions(spark, folder)[0]
 
 
 def p6_dropped(spark, folder):
     """Counts of the records beyond the cut-off."""
-    return period_revisions(table(spark, folder, "raw_information"), table(spark, folder, "info_sources"))[1]
+    return _revisions(spark, folder)[1]
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_history, p6_found, p6_issues, p6_dropped)}

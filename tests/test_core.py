@@ -10,7 +10,7 @@ from lodestrata.operators import dedup, graph, retrieval, temporal
 from lodestrata.operators.bitemporal import attached_states, lookup_as_known
 from lodestrata.operators.hierarchy import descendant_counts, descendants, parent_links, resolve_roots
 from lodestrata.operators.history import build_history, history_rows
-from lodestrata.streaming.late import corrections, period_revisions
+from lodestrata.streaming.late import COUNTS, UpsertLog, corrections, period_revisions, replayed_revisions
 
 T0 = datetime(2018, 1, 1)
 
@@ -149,27 +149,33 @@ def test_late_periods(spark):
         ("7", "Daily", None, hours(40), "f", ""), ("8", "Daily", hours(5), None, "g", ""), ("9", None, hours(5), hours(31), None, None),
     ]
     df = spark.createDataFrame(raw, RAW)
-    assert rows(corrections(df, src)) == [("Daily", "2018-01-01", "2018-01-02"), ("Daily", "2018-01-01", "2018-01-05")]
-    issues, dropped = period_revisions(df, src)
+    for issues, dropped in (period_revisions(df, src), replayed_revisions(df, src, waves=1), replayed_revisions(df, src)):
+        check_issues(issues, dropped)
+    assert corrections(period_revisions(df.limit(0), src)[0]).count() == 0 and corrections(replayed_revisions(df.limit(0), src)[0]).count() == 0
+
+
+def check_issues(issues, dropped):
+    assert rows(corrections(issues)) == [("Daily", "2018-01-01", "2018-01-02"), ("Daily", "2018-01-01", "2018-01-05")]
     assert [r.records for r in issues.orderBy(F.col("arrival_day").asc_nulls_first()).collect()] == [2, 3, 4]
     assert dropped.collect()[0].dropped == 1
-    assert corrections(df.limit(0), src).count() == 0
 
 
-def test_late_stream_adds_up_to_the_batch(spark, tmp_path):
-    from lodestrata.streaming.late import start_revision_stream
+def test_replay_equals_the_batch(spark):
+    src = spark.createDataFrame([("Daily",), ("Post",)], "source string")
+    rng = random.Random(6)
+    raw = [(f"{i:03d}", rng.choice(["daily ", "POST", "other"]), hours(i % 48), hours(i % 48 + rng.randrange(130)), rng.choice([f"h{i % 60}", None]), "") for i in range(200)]
+    df = spark.createDataFrame(raw, RAW)
+    for got, want in zip(replayed_revisions(df, src), period_revisions(df, src)):
+        assert rows(got.na.fill("-").withColumn("arrival_day", F.coalesce(F.col("arrival_day").cast("string"), F.lit("-")))) == rows(want.withColumn("arrival_day", F.coalesce(F.col("arrival_day").cast("string"), F.lit("-"))))
 
-    src = spark.createDataFrame([("Daily",)], "source string")
-    raw = [(str(i), "daily ", hours(i % 48), hours(i % 48 + (i * 7) % 130), f"h{i % 50}", "") for i in range(60)]
-    raw.sort(key=lambda r: (r[3], r[0]))
-    spark.createDataFrame(raw, RAW).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(RAW).parquet(str(tmp_path / "in"))
-    seen, late = [], []
-    q = start_revision_stream(stream, src, lambda d, n: seen.extend(d.collect()), lambda d, n: late.extend(d.collect()), str(tmp_path / "state"))
-    q.awaitTermination(120)
-    issues, dropped = period_revisions(spark.createDataFrame(raw, RAW), src)
-    assert sum(r.added for r in seen) == issues.agg(F.sum("added")).first()[0]
-    assert sum(r.dropped for r in late) == (dropped.agg(F.sum("dropped")).first()[0] or 0)
+
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    log = UpsertLog(spark, str(tmp_path / "log"), "source", "period_day", "arrival_day", "arrival")
+    day = T0.date()
+    put = lambda n, number: log.put(spark.createDataFrame([("a", day, day, "on_time", n)], COUNTS), number)
+    for n, number in ((2, 0), (2, 0), (5, 1), (5, 1)):
+        put(n, number)
+    assert [r.records for r in log.rows(COUNTS).collect()] == [5]
 
 
 # ---- functions
