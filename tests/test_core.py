@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scoring as sc
 from lodestrata.functions import text as tx
 from lodestrata.operators import dedup, graph, retrieval, temporal
-from lodestrata.operators.bitemporal import attached_states, lookup_as_known
+from lodestrata.operators.bitemporal import FOREVER, attached_states, known_regions, lookup_as_known
 from lodestrata.operators.hierarchy import descendant_counts, descendants, parent_links, resolve_roots
 from lodestrata.operators.history import build_history, history_rows
 from lodestrata.streaming.late import COUNTS, UpsertLog, corrections, period_revisions, replayed_revisions
@@ -108,24 +108,39 @@ def test_as_known_against_brute_force(spark, slices):
         if s[3] is not None and rng.random() < 0.5:
             states.append((s[0], len(states), s[3], None, s[3] + timedelta(hours=rng.choice([0, 20])), "clash", 1))
     states += states[:10]
-    probes = [(f"i{i}", rng.choice(["hot", "n1", "n2", "n3", "none"]), hours(rng.randrange(320)) if i % 9 else None) for i in range(300)]
-    s, e = spark.createDataFrame(states, STATES), spark.createDataFrame(probes, "info string, node string, t timestamp")
+    probes = [(f"i{i}", rng.choice(["hot", "n1", "n2", "n3", "none"]), hours(rng.randrange(320)) if i % 9 else None, hours(rng.randrange(320)) if i % 7 else None) for i in range(400)]
+    s, e = spark.createDataFrame(states, STATES), spark.createDataFrame(probes, "info string, node string, t timestamp, seen timestamp")
 
-    def brute(node, t):
-        own = [x for x in set(states) if x[0] == node and x[2] <= t and x[4] <= t]
+    def brute(node, t, seen=None):
+        seen = seen or t
+        own = [x for x in set(states) if x[0] == node and x[2] <= t and x[4] <= seen]
         if not own:
             return None
         best = max(own, key=lambda x: (x[2], x[4], x[1]))
         end = best[3]
-        if end is None or end > t or any(x[0] == node and x[2] == end and x[4] > t for x in states):
+        if end is None or end > t or any(x[0] == node and x[2] == end and x[4] > seen for x in states):
             return best[1]
         return None
 
-    want = sorted((i, n, v) for i, n, t in probes if t and (v := brute(n, t)) is not None)
+    both = sorted((i, n, v) for i, n, t, seen in probes if t and seen and (v := brute(n, t, seen)) is not None)
+    assert rows(lookup_as_known(e, s, "node", "t", "seen", slices=slices).select("info", "node", "version")) == both
+    want = sorted((i, n, v) for i, n, t, _ in probes if t and (v := brute(n, t)) is not None)
     assert rows(lookup_as_known(e, s, "node", "t", slices=slices).select("info", "node", "version")) == want
     assert lookup_as_known(e.limit(0), s, "node", "t").count() == 0 and lookup_as_known(e, s.limit(0), "node", "t").count() == 0
 
 
+def test_bursts_fall_into_small_cells(spark):
+    """A thousand versions within minutes and one that lasts for years: no cell holds many of them."""
+    micro = lambda m: timedelta(microseconds=m)
+    burst = [("n", i, T0 + micro(i * 60_000), None, T0 + micro(i * 60_000), "", 0) for i in range(1000)] + [("n", 1000, T0 + timedelta(days=900), None, T0 + timedelta(days=900), "", 0)]
+    regions = known_regions(spark.createDataFrame(burst, STATES), slices=3)
+    assert regions.count() <= 2 * len(burst)
+    sides = regions.where(F.col("r1") >= FOREVER).select("t0", (F.col("t1") - F.col("t0")).alias("w")).orderBy("t0").collect()
+    assert len(sides) == len(burst) and all(r.w == 60_000 for r in sides[:-2])
+    probes = spark.createDataFrame([("p", "n", T0 + micro(i * 60_000 + 1)) for i in range(0, 1000, 50)], "info string, node string, t timestamp")
+    assert sorted(r.version for r in lookup_as_known(probes, spark.createDataFrame(burst, STATES), "node", "t").collect()) == list(range(0, 1000, 50))
+
+
 def test_attached_states_ignores_other_links(spark):
     a = spark.createDataFrame([("n", "raw_info", "i"), ("n", "raw_info", "i"), ("n", "analysis", "i"), ("n", "raw_info", "gone"), (None, "raw_info", "i")], "node_id string, attachment_type string, attachment_id string")
     r = spark.createDataFrame([("i", hours(5))], "id string, published_at timestamp")
