@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Endings and words that say little in names of nodes.
 NAME_ENDINGS = ["板块", "概念", "行业", "赛道", "产业链", "领域", "产业"]
 NOISE_WORDS = ["股份", "控股", "公司", "集团", "有限", "科技", "中国", "国际", "行业", "赛道", "概念", "板块", "产业", "领域", "产业链", "有限公", "有限公司", "股份有限", "股份有限公司"]
+#: The form of a ticker, words that negate what follows.
 TICKER = r"^(\d{6}(\.[A-Z]{2})?|[A-Z]{1,5}(\.[A-Z]{1,2})?)$"
 NEGATIONS = ["不要", "没有", "不是", "不会", "无需", "不"]
 

@@ -75,36 +75,66 @@ def name_blocks(nodes: DataFrame) -> DataFrame:
     return named.groupBy("node_type", "n").agg(F.min("id").alias("id"))
 
 
-def levenshtein_pairs(nodes: DataFrame, least: float = 0.85) -> DataFrame:
-    """``(a, b, ratio)``: names of one type with few edits for their length.
+def name_classes(nodes: DataFrame) -> DataFrame:
+    """``(id, class_id)``: every node, and the smallest id of its type with the same normal name (see :func:`name_blocks`)."""
+    named = nodes.where("id is not null and name is not null").select("id", "node_type", normalized_name(F.col("name")).alias("n")).where("n <> ''")
+    return named.join(name_blocks(nodes).withColumnRenamed("id", "class_id"), ["node_type", "n"]).select("id", "class_id")
+
+
+def title_classes(records: DataFrame, kind: str = "info_type") -> DataFrame:
+    """``(id, class_id)``: every record with a title, and the smallest id of its kind with the same title (see :func:`title_pairs`)."""
+    titled = records.where("title is not null and title <> ''").select(kind, F.lower("title").alias("t"), "id")
+    return titled.join(titled.groupBy(kind, "t").agg(F.min("id").alias("class_id")), [kind, "t"]).select("id", "class_id")
 
-    Candidates share a pair of letters at nearly the same place and have lengths that
-    allow the ratio: ``d`` edits leave one of ``d + 1`` pieces of the shorter name intact.
+
+def _piece_pairs(names: DataFrame, longest, edits) -> DataFrame:
+    """``(ia, ib, x, y)``: candidates within a number of edits, x not longer than y.
+
+    ``longest`` and ``edits`` give, for lengths ``la <= lb``, the largest ``lb`` and the
+    edits allowed.  ``d`` edits leave one of ``d + 1`` pieces of x intact, which y holds
+    at a place shifted by at most ``d``.
     """
-    names = name_blocks(nodes).where(F.length("n") >= 2).withColumn("len", F.length("n"))
-    most = F.floor((1 - least) * F.col("len") / least).cast("int")
-    # d + 1 pieces of each name; the other name has one of them at a place shifted by at most d
-    cut = names.withColumn("d", F.least(most, F.col("len") - 1))
-    piece = F.transform(
-        F.sequence(F.lit(0), F.col("d")),
-        lambda i: F.struct(
-            F.floor(i * F.col("len") / (F.col("d") + 1)).cast("int").alias("at"),
-            (F.floor((i + 1) * F.col("len") / (F.col("d") + 1)) - F.floor(i * F.col("len") / (F.col("d") + 1))).cast("int").alias("size"),
-        ),
-    )
-    left = cut.select("node_type", F.col("id").alias("ia"), F.col("n").alias("x"), "len", "d", F.explode(piece).alias("p"))
-    left = left.select("node_type", "ia", "x", "d", F.col("len").alias("la"), F.explode(F.sequence(F.col("len"), F.col("len") + F.col("d"))).alias("lb"), F.substring("x", F.col("p.at") + 1, F.col("p.size")).alias("piece"), F.col("p.at").alias("at"), F.col("p.size").alias("size"))
-    sizes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: i))
-    pieces = names.select("node_type", F.col("id").alias("ib"), F.col("n").alias("y"), F.col("len").alias("lb"), F.explode(sizes).alias("size"))
-    used = left.select("size").distinct()
-    pieces = pieces.join(F.broadcast(used), "size", "left_semi")  # sizes of pieces: at most the longest name
-    right = pieces.select("node_type", "ib", "y", "lb", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("lb") - F.col("size"), F.lit(0)))).alias("place"))
+    named = names.where(F.length("n") >= 2).withColumn("la", F.length("n"))
+    sized = named.withColumn("lb", F.explode(F.sequence(F.col("la"), longest(F.col("la")))))
+    sized = sized.withColumn("d", F.least(edits(F.col("la"), F.col("lb")), F.col("la") - 1))
+    border = lambda i: F.floor(i * F.col("la") / (F.col("d") + 1)).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.struct(border(i).alias("at"), (border(i + 1) - border(i)).alias("size")))
+    left = sized.select("node_type", F.col("id").alias("ia"), F.col("n").alias("x"), "d", "lb", F.explode(piece).alias("p"))
+    left = left.select("node_type", "ia", "x", "d", "lb", F.substring("x", F.col("p.at") + 1, F.col("p.size")).alias("piece"), F.col("p.at").alias("at"), F.col("p.size").alias("size"))
+    used = left.select("node_type", "lb", "size").distinct()
+    whole = named.select("node_type", F.col("id").alias("ib"), F.col("n").alias("y"), F.col("la").alias("lb"))
+    right = whole.join(used, ["node_type", "lb"]).withColumn("place", F.explode(F.sequence(F.lit(0), F.greatest(F.col("lb") - F.col("size"), F.lit(0)))))
     right = right.select("node_type", "ib", "y", "lb", "size", "place", F.substring("y", F.col("place") + 1, F.col("size")).alias("piece"))
     hit = left.join(right, ["node_type", "lb", "size", "piece"]).where((F.abs(F.col("at") - F.col("place")) <= F.col("d")) & (F.col("ia") != F.col("ib")))
-    scored = hit.select("ia", "ib", "x", "y").distinct().withColumn("r", levenshtein_ratio(F.col("x"), F.col("y"))).where(F.round("r", 9) >= least)
+    return hit.select("ia", "ib", "x", "y").distinct()
+
+
+def levenshtein_pairs(nodes: DataFrame, least: float = 0.85) -> DataFrame:
+    """``(a, b, ratio)``: names of one type with few edits for their length, exact.
+
+    Names are compared once, by the smallest id that bears them; :func:`name_classes` has the others.
+    """
+    most = lambda longer: F.floor((1 - least) * longer + 1e-9).cast("int")
+    found = _piece_pairs(name_blocks(nodes), lambda la: F.floor(la / least + 1e-9).cast("int"), lambda la, lb: most(lb))
+    scored = found.withColumn("r", levenshtein_ratio(F.col("x"), F.col("y"))).where(F.round("r", 9) >= least)
     return scored.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.round("r", 6).alias("ratio")).distinct()
 
 
+def sequence_ratio_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """``(a, b, ratio)``: names of one type by their matching blocks, exact; classes as in :func:`levenshtein_pairs`.
+
+    Blocks of ``m`` letters give ``2m / (la + lb)``, so a pair that reaches the ratio
+    has at most ``(1 - least) * (la + lb)`` letters outside, each an edit.  The ratio
+    depends on the order of the two names; the larger one counts.
+    """
+    edits = lambda la, lb: F.floor((1 - least) * (la + lb) + 1e-9).cast("int")
+    found = _piece_pairs(name_blocks(nodes), lambda la: F.floor(la * (2 - least) / least + 1e-9).cast("int"), edits)
+    pair = found.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "x", "y").distinct()
+    there = sequence_ratio(pair, "x", "y", least).select("a", "b", "ratio")
+    back = sequence_ratio(pair, "y", "x", least).select("a", "b", "ratio")
+    return there.unionByName(back).groupBy("a", "b").agg(F.round(F.max("ratio"), 6).alias("ratio"))
+
+
 def same_key_pairs(rows: DataFrame, key, id_: str = "id") -> DataFrame:
     """``(first, id)``: every record with a key, and the smallest id with the same key (not all pairs)."""
     keyed = rows.select(id_, key.alias("_key")).where("_key is not null and _key <> ''")

@@ -67,10 +67,10 @@ def entity_occurrences(matches: DataFrame, key: str) -> DataFrame:
     return matches.groupBy(key, "entity", "kind").agg(F.sum("occurrences").cast("long").alias("occurrences"), F.min("position").alias("first_position"))
 
 
-def inverse_frequencies(occurrences: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """``(entity, df, idf)`` of generic types: ``ln((N + 1) / (1 + df)) / ln(N + 1)``."""
+def inverse_frequencies(occurrences: DataFrame, documents: DataFrame, key: str, kinds: list[str] | None = GENERIC_TYPES) -> DataFrame:
+    """``(entity, df, idf)`` of generic types, or of all with None: ``ln((N + 1) / (1 + df)) / ln(N + 1)``."""
     n = documents.count()
-    df = occurrences.where(F.col("kind").isin(*GENERIC_TYPES)).groupBy("entity").agg(F.countDistinct(key).alias("df"))
+    df = (occurrences if kinds is None else occurrences.where(F.col("kind").isin(*kinds))).groupBy("entity").agg(F.countDistinct(key).alias("df"))
     return df.withColumn("idf", F.round(F.log((n + 1) / (1 + F.col("df"))) / F.log(F.lit(float(n + 1))), 6) if n else F.lit(1.0))
 
 

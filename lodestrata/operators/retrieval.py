@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,45 @@ def vector_search(vectors: DataFrame, query: list[float], key: str = "vec_id", v
     return rows.select(key, F.round("s", 6).alias("similarity"), F.round(1 / (1 + (1 - F.col("s"))), 6).alias("score"))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, key: str = "vec_id", vector: str = "embedding", rows_per_block: int = 20_000, queries_per_block: int = 1_000) -> DataFrame:
+    """``query_id, vec_id, similarity, score``: for each query the ``k`` best rows, or all rows from ``least`` on, exact.
+
+    Rows and queries are cut into blocks; each pair of blocks is one matrix product, of
+    which only the best ``k`` per query, or the rows from ``least`` on, leave the task.
+    ``score`` is ``1 / (1 + cosine distance)``; ties go by id.  Null vectors and vectors
+    of length 0 are left out, on both sides.
+    """
+    slim = lambda d: d.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows, wanted = slim(vectors), slim(queries)
+    parts, blocks = max(1, -(-rows.count() // rows_per_block)), max(1, -(-wanted.count() // queries_per_block))
+    cut = lambda d, n, name: d.withColumn(name, F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = cut(rows, parts, "i").select("k", "v", "i", spread(blocks).alias("j"), F.lit(False).alias("q"))
+    right = cut(wanted, blocks, "j").select("k", "v", spread(parts).alias("i"), "j", F.lit(True).alias("q"))
+
+    def product(table: pa.Table) -> pa.Table:
+        keys, asks = table["k"].to_numpy(), table["q"].to_numpy()
+        v = np.stack(table["v"].to_pandas().to_numpy()) if len(keys) else np.zeros((0, 1))
+        norm = np.sqrt((v * v).sum(1))
+        x, y = np.flatnonzero(asks & (norm > 0)), np.flatnonzero(~asks & (norm > 0))
+        s = (v[x] / norm[x, None]) @ (v[y] / norm[y, None]).T
+        shown = np.round(s, 6)
+        score = np.round(1 / (1 + (1 - s)), 6)
+        if k is None:
+            r, c = np.nonzero(shown >= least)
+        else:
+            order = np.lexsort((np.broadcast_to(keys[y], s.shape), -score), axis=1)[:, :k]
+            r, c = np.repeat(np.arange(len(x)), order.shape[1]), order.ravel()
+        return pa.table({"query_id": pa.array(keys[x[r]]), "vec_id": pa.array(keys[y[c]]), "similarity": pa.array(shown[r, c]), "score": pa.array(score[r, c])})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(product, f"query_id {kind}, vec_id {kind}, similarity double, score double")
+    if k is None:
+        return found
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def reciprocal_ranks(channels: dict[str, tuple[DataFrame, float]], k: int, key: str = "doc_id") -> DataFrame:
     """Fusion of ranked channels: ``sum(weight / (k + rank))``; a missing channel adds nothing.
 
@@ -159,10 +200,28 @@ def entity_context_boost(text, strengths: dict[str, float]):
     return F.least(sum(hits, F.lit(0.0)), F.lit(1.0))
 
 
-def final_score(rows: DataFrame, weights: tuple[float, float, float, float, float], columns=("rerank", "rrf", "entity", "recency", "type_priority")) -> DataFrame:
-    """Weighted sum of the named signals, rounded to six digits; null signals count 0."""
-    total = sum((w * F.coalesce(F.col(c), F.lit(0.0)) for w, c in zip(weights, columns)), F.lit(0.0))
-    return rows.withColumn("final", F.round(total, 6))
+#: Fixed value: scores of the reranker up to this say nothing.
+RERANK_LEAST = 0.01
+
+
+def final_score(rows: DataFrame, weights: tuple[float, ...], without: tuple[float, ...], columns=("rerank", "rrf", "entity", "recency", "type_priority")) -> DataFrame:
+    """``final``: the weighted sum of the signals, rounded to six digits.
+
+    The fused score and the reranker's are scaled to 0..1 over all rows (0.5 where all
+    fused scores are equal; where all of the reranker's are, the scaled fused score
+    stands in).  Rows that the reranker said nothing about, by a null or a score of at
+    most ``RERANK_LEAST``, take the weights ``without`` it.  Other null signals count
+    0.  The bounds are one row, read by the driver.
+    """
+    rerank, fused, *others = (F.coalesce(F.col(c), F.lit(0.0)).cast("double") for c in columns)
+    bounds = rows.agg(F.min(fused).alias("f0"), F.max(fused).alias("f1"), F.min(rerank).alias("r0"), F.max(rerank).alias("r1")).first()
+    f0, f1, r0, r1 = (float(x or 0.0) for x in bounds)
+    scaled = (fused - f0) / (f1 - f0) if f1 - f0 > 1e-6 else F.lit(0.5)
+    said = rerank > RERANK_LEAST
+    reranked = (rerank - r0) / (r1 - r0) if r1 - r0 > 1e-6 else scaled
+    signals = [F.when(said, reranked).otherwise(0.0), scaled, *others]
+    total = lambda w: sum((x * s for x, s in zip(w, signals)), F.lit(0.0))
+    return rows.withColumn("final", F.round(F.when(said, total(weights)).otherwise(total(without)), 6))
 
 
 def keyword_demotion(rows: DataFrame, text: str, terms: list[str], score: str = "score") -> DataFrame:

@@ -12,7 +12,7 @@ INTENTS = {
     "concept": {"知识图谱": 0.85, "图谱": 0.8, "节点": 0.8, "实体关系": 0.8, "node": 0.75, "nodes": 0.75, "sector": 0.7},
     "market_data": {"行情": 0.9, "走势": 0.8, "K线": 0.85, "均线": 0.8, "盘面": 0.85, "成交量": 0.7, "换手率": 0.7, "股价": 0.7},
 }
-#: Signal words of domains, groups of time words with days, words of mood.
+#: Signal words of domains, groups of time words with days.
 DOMAINS = {
     "financial_report": {"财报": 1.0, "季报": 0.95, "年报": 0.95, "业绩": 0.85, "营收": 0.9, "利润": 0.85, "毛利率": 0.85, "现金流": 0.8},
     "macro": {"美联储": 0.95, "加息": 0.9, "降息": 0.9, "CPI": 0.85, "GDP": 0.9, "通胀": 0.85, "利率": 0.8, "汇率": 0.75},
@@ -22,8 +22,6 @@ DOMAINS = {
     "knowledge_graph": {"知识图谱": 0.9, "图谱": 0.8, "节点": 0.8},
 }
 TIME_BIAS = [(["今天", "刚刚", "今日"], 3), (["昨日", "昨天"], 7), (["本周"], 14), (["最近", "最新", "近期", "近日"], 30), (["本月"], 60), (["财报", "季报", "年报", "半年报"], 90), (["今年", "本年度"], 180)]
-BULLISH = "上涨 大涨 暴涨 拉升 走高 反弹 回升 利好 看多 突破 乐观".split()
-BEARISH = "下跌 大跌 暴跌 跳水 回落 利空 看空 悲观 恐慌".split()
 
 #: Channel weights, and how intents, profiles and domains change them.
 BASE = {"bm25": 1.2, "vector": 1.0, "name": 2.5, "structural": 0.2, "time": 0.25, "position": 0.12}

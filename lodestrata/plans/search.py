@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scoring import time_score
-from lodestrata.functions.text import TICKER, character_pairs, jaccard, word_match
+from lodestrata.functions.text import NEGATIONS, TICKER, character_pairs, jaccard, word_match
 from lodestrata.operators import entities, retrieval
 from lodestrata.plans import lexicon as lx
-
-NEGATIONS = ("不要", "没有", "不是", "不会", "无需", "不")
+from lodestrata.session import Workspace
 
 
 @dataclass(frozen=True)
@@ -37,7 +36,7 @@ def signal_sum(text: str, signals: dict[str, float]) -> float:
     hits = []
     for word, weight in signals.items():
         at = text.find(word)
-        if at >= 0 and not text[max(0, at - 2) : at].endswith(NEGATIONS):
+        if at >= 0 and not text[max(0, at - 2) : at].endswith(tuple(NEGATIONS)):
             hits.append(weight)
     return sum(w * 0.5**i for i, w in enumerate(sorted(hits, reverse=True)))
 
@@ -152,12 +151,14 @@ def drop_same_titles(rows: DataFrame, plan: SearchPlan) -> DataFrame:
     return rows.join(beaten, "id", "left_anti")
 
 
+#: Candidates that a reranker gets.
+SCORED = 50
 #: Rules of the last step in order; more can be given to :func:`search`.
 RULES: tuple[Rule, ...] = (drop_empty, least_score, drop_same_titles)
 
 
 def search(records: DataFrame, nodes: DataFrame, plan: SearchPlan, as_of: str, rules: tuple[Rule, ...] = RULES, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``rank, table, id, title, snippet_source, rrf, final`` of the best results.
+    """``rank, table, id, title, rrf, final`` of the best results.
 
     Filters come before scoring.  Each channel gives at most ``recall_limit`` rows, so
     that fusion, ranking and rules work on a bounded list; only the scans of the
@@ -182,20 +183,28 @@ def search(records: DataFrame, nodes: DataFrame, plan: SearchPlan, as_of: str, r
     if "nodes" in plan.tables:
         named = entities.resolve_names(nodes.where("is_active"), tokens_of(plan.text), 10).select("id", "score")
         channels["name"] = (retrieval.rank_rows(named, 10, tie="id"), plan.weights["name"])
-    fused = retrieval.reciprocal_ranks(channels, retrieval.rrf_constant(len(channels)), "id")
+    # the lexical channel counts for the constant even if it is off
+    constant = retrieval.rrf_constant(len({"bm25", *channels}))
+    fused = retrieval.reciprocal_ranks(channels, constant, "id")
+    near = channels["vector"][0].select("id", F.lit(True).alias("_near")) if "vector" in channels else fused.limit(0).select("id", F.lit(True).alias("_near"))
+    fused = fused.join(F.broadcast(near), "id", "left")  # at most the recall limit
     joined = rows.join(F.broadcast(fused), "id")  # at most three times the recall limit
+    # importance counts for what the vector channel found, before recency and position raise the score
+    importance = F.when(F.col("_near"), F.least(F.greatest("importance", F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    joined = joined.withColumn("rrf", F.col("rrf") + plan.weights["structural"] * importance / (constant + 1))
     boosted = retrieval.boost(joined, "at", "body", plan.terms, as_of, plan.weights["time"], plan.weights["position"])
-    structural = plan.weights["structural"] * F.col("importance") / 61
     entity = sum((F.when(word_match(F.coalesce("title", F.lit("")), t), 0.15).otherwise(0.0) for t in plan.terms), F.lit(0.0))
     record, node = lx.PRIORITY[plan.intent]
     signals = boosted.select(
-        "table", "id", "title", "body", (F.col("boosted") + structural).alias("rrf"), F.least(entity, F.lit(1.0)).alias("entity"), time_score(F.col("at"), as_of).alias("recency"),
-        F.when(F.col("table") == "nodes", node).otherwise(record).alias("type_priority"), F.lit(0.0).alias("rerank"),
+        "table", "id", "title", "body", F.col("boosted").alias("rrf"), F.least(entity, F.lit(1.0)).alias("entity"), time_score(F.col("at"), as_of).alias("recency"),
+        F.when(F.col("table") == "nodes", node).otherwise(record).alias("type_priority"), F.lit(None).cast("double").alias("rerank"),
     )
+    signals = Workspace(records.sparkSession, "candidates").save(signals, "signals")  # at most three times the recall limit
     if scorer and plan.mode != "bm25":
-        signals = scorer(signals)
-    weights = lx.FINAL[plan.intent][0 if scorer and plan.mode != "bm25" else 1]
-    ranked = retrieval.rank_rows(retrieval.final_score(signals, weights), 3 * k, "final", "id")
+        head = retrieval.rank_rows(signals, SCORED, "rrf", "id").drop("rank")
+        tail = signals.join(F.broadcast(head.select("id")), "id", "left_anti")
+        signals = scorer(head).select(*signals.columns).unionByName(tail)
+    ranked = retrieval.rank_rows(retrieval.final_score(signals, *lx.FINAL[plan.intent]), 3 * k, "final", "id")
     for rule in rules:
         ranked = rule(ranked, plan)
     best = retrieval.rank_rows(ranked.drop("rank"), plan.limit, "final", "id")

@@ -83,14 +83,22 @@ _VEC = """q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS
 vec AS (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q.e) AS s FROM embeddings, q WHERE embedding IS NOT NULL)"""
 
 
-@query(f"WITH {_VEC} SELECT vec_id, round(s, 6) AS similarity, round(1 / (1 + (1 - s)), 6) AS score FROM vec ORDER BY score DESC, vec_id LIMIT 20")
+_NEAR = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+near AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS s FROM v q, v WHERE q.vec_id % 100 = 0)"""
+
+
+@query(f"""WITH {_NEAR} SELECT query_id, vec_id, round(s, 6) AS similarity, round(1 / (1 + (1 - s)), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + (1 - s)), 6) DESC, vec_id) AS INT) AS rank
+FROM near QUALIFY rank <= 20""")
 def vector_topk(spark, folder):
-    return retrieval.top_k(_vector(spark, folder), 20, tie="vec_id")
+    """The 20 nearest rows of every row whose id is divisible by 100."""
+    v = table(spark, folder, "embeddings")
+    return retrieval.nearest(v, v.where("vec_id % 100 = 0"), k=20)
 
 
-@query(f"WITH {_VEC} SELECT vec_id, round(s, 6) AS similarity FROM vec WHERE round(s, 6) >= 0.1")
+@query(f"WITH {_NEAR} SELECT query_id, vec_id, round(s, 6) AS similarity FROM near WHERE round(s, 6) >= 0.3")
 def vector_threshold(spark, folder):
-    return _vector(spark, folder, 0.1).select("vec_id", "similarity")
+    v = table(spark, folder, "embeddings")
+    return retrieval.nearest(v, v.where("vec_id % 100 = 0"), least=0.3).select("query_id", "vec_id", "similarity")
 
 
 _CHANNELS = f"""{_TOKENS}, {_VEC.replace('q AS', 'qv AS').replace('q.e', 'qv.e').replace(', q WHERE', ', qv WHERE')},
@@ -165,10 +173,18 @@ def floor_filter(spark, folder):
     return retrieval.keep_floor(_ranked(spark, folder), F.col("published_at") >= F.lit("2018-01-10 00:00:00").cast("timestamp"), 20).select("id", "rank")
 
 
-@query(f"""WITH {_RANKED} SELECT id, round(score * (1 - (1 - (CAST(regexp_matches(lower(title), '(^|[^a-zA-Z0-9])report([^a-zA-Z0-9]|$)') AS INT) + CAST(regexp_matches(lower(title), '(^|[^a-zA-Z0-9])on([^a-zA-Z0-9]|$)') AS INT)
- + CAST(contains(lower(title), '收购') AS INT)) / 3) * 0.5), 6) AS demoted FROM ranked""")
+_SCORED = "scored AS (SELECT id, info_type, title, importance_score AS score, published_at FROM raw_information WHERE importance_score IS NOT NULL)"
+
+
+def _scored(spark, folder):
+    r = table(spark, folder, "raw_information").where("importance_score is not null")
+    return r.select("id", "info_type", "title", F.col("importance_score").alias("score"), "published_at")
+
+
+@query(f"""WITH {_SCORED} SELECT id, round(score * (1 - (1 - coalesce((CAST(regexp_matches(lower(title), '(^|[^a-zA-Z0-9])report([^a-zA-Z0-9]|$)') AS INT) + CAST(regexp_matches(lower(title), '(^|[^a-zA-Z0-9])on([^a-zA-Z0-9]|$)') AS INT)
+ + CAST(contains(lower(title), '收购') AS INT)) / 3, 0)) * 0.5), 6) AS demoted FROM scored""")
 def keyword_demotion(spark, folder):
-    return retrieval.keyword_demotion(_ranked(spark, folder), "title", ["report", "on", "收购"]).select("id", "demoted")
+    return retrieval.keyword_demotion(_scored(spark, folder), "title", ["report", "on", "收购"]).select("id", "demoted")
 
 
 @query(f"""WITH {_RANKED}, s AS (SELECT *, row_number() OVER (PARTITION BY info_type ORDER BY score DESC, id) AS r FROM raw_information_scored)
@@ -178,14 +194,19 @@ def diversity_topk(spark, folder):
     return retrieval.top_per_group(r, "info_type", 3, "importance_score", "id").select("info_type", "id", "rank")
 
 
-@query(f"""WITH {_RANKED} SELECT id, round(0.25 * 0 + 0.2 * score + 0.08 * (CASE WHEN contains(lower(title), 'report') THEN 0.15 ELSE 0 END)
- + 0.35 * coalesce(2 / (1 + exp(0.05 * {_AGE.format('published_at')} / 10)), 1.0) + 0.12 * (CASE WHEN info_type = 'news' THEN 2.0 ELSE 0.6 END), 6) AS final FROM ranked""")
+@query(f"""WITH {_SCORED}, g AS (SELECT id, score AS f, CASE WHEN length(title) % 3 = 0 THEN 0 ELSE coalesce(length(title) % 50, 0) / 50.0 END AS r, CASE WHEN contains(lower(title), 'report') THEN 0.15 ELSE 0 END AS e,
+ coalesce(2 / (1 + exp(0.05 * {_AGE.format('published_at')} / 10)), 1.0) AS t, CASE WHEN info_type = 'news' THEN 2.0 ELSE 0.3 END AS p FROM scored),
+b AS (SELECT min(f) AS f0, max(f) AS f1, min(r) AS r0, max(r) AS r1 FROM g)
+SELECT id, round(CASE WHEN r > 0.01 THEN 0.25 * (r - r0) / (r1 - r0) + 0.20 * (f - f0) / (f1 - f0) + 0.08 * e + 0.35 * t + 0.12 * p
+ ELSE 0.30 * (f - f0) / (f1 - f0) + 0.08 * e + 0.45 * t + 0.17 * p END, 6) AS final FROM g, b""")
 def final_rank(spark, folder):
-    rows = _ranked(spark, folder).select(
-        "id", F.lit(0.0).alias("rerank"), F.col("score").alias("rrf"), F.when(tx.contains_ignoring_case(F.col("title"), "report"), 0.15).otherwise(0.0).alias("entity"),
-        sc.time_score(F.col("published_at"), AS_OF).alias("recency"), F.when(F.col("info_type") == "news", 2.0).otherwise(0.6).alias("type_priority"),
+    """Final scores of all records; lengths of titles stand for a reranker, which leaves out a third."""
+    n = F.length("title")
+    rows = _scored(spark, folder).select(
+        "id", F.when(n % 3 == 0, 0.0).otherwise(F.coalesce(n % 50, F.lit(0)) / 50.0).alias("rerank"), F.col("score").alias("rrf"), F.when(tx.contains_ignoring_case(F.col("title"), "report"), 0.15).otherwise(0.0).alias("entity"),
+        sc.time_score(F.col("published_at"), AS_OF).alias("recency"), F.when(F.col("info_type") == "news", 2.0).otherwise(0.3).alias("type_priority"),
     )
-    return retrieval.final_score(rows, (0.25, 0.20, 0.08, 0.35, 0.12)).select("id", "final")
+    return retrieval.final_score(rows, *search_plans.lx.FINAL["news"]).select("id", "final")
 
 
 @query(f"""WITH {_RANKED}, h AS (SELECT *, CASE WHEN rank <= 5 THEN 1 ELSE 0 END AS top FROM ranked WHERE rank <= 20),
@@ -248,13 +269,19 @@ def same_ticker_pairs(spark, folder):
     return dedup.same_key_pairs(table(spark, folder, "world_nodes"), F.when(~t.isin("", "-", "N/A"), F.substring_index(t, ".", 1)))
 
 
-@query()
+@query()  # matching blocks; tested against brute force
 def sequence_ratio_pairs(spark, folder):
-    """Names with few edits, scored by matching blocks."""
-    nodes = table(spark, folder, "world_nodes").select("id", "name")
-    pairs = dedup.levenshtein_pairs(table(spark, folder, "world_nodes")).select("a", "b")
-    named = pairs.join(nodes.toDF("a", "name_a"), "a").join(nodes.toDF("b", "name_b"), "b")
-    return dedup.sequence_ratio(named, "name_a", "name_b", 0.8)
+    return dedup.sequence_ratio_pairs(table(spark, folder, "world_nodes"))
+
+
+@query(f"SELECT id, min(id) OVER (PARTITION BY node_type, n) AS class_id FROM (SELECT id, node_type, {_norm_sql('name')} AS n FROM world_nodes) WHERE n <> ''")
+def name_classes(spark, folder):
+    return dedup.name_classes(table(spark, folder, "world_nodes"))
+
+
+@query("SELECT id, min(id) OVER (PARTITION BY info_type, lower(title)) AS class_id FROM raw_information WHERE title <> ''")
+def title_classes(spark, folder):
+    return dedup.title_classes(table(spark, folder, "raw_information"))
 
 
 @query("""WITH n AS (SELECT id, node_type, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS n FROM world_nodes WHERE length(n) >= 4),
@@ -395,16 +422,19 @@ _EDGES = """e AS (SELECT parent_node_id AS src, child_node_id AS dst, regexp_rep
  FROM world_node_edges WHERE parent_node_id IS NOT NULL AND child_node_id IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {_EDGES}, arcs AS (SELECT src, dst, max(strength) AS s FROM e GROUP BY 1, 2), roots AS (SELECT src AS source FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 20),
+@query(f"""WITH {_EDGES}, arcs AS (SELECT src, dst, max(strength) AS s FROM e GROUP BY 1, 2), roots AS (SELECT DISTINCT src AS source FROM e),
 l1 AS (SELECT source, dst AS node, max(s) AS st FROM roots JOIN arcs ON src = source WHERE dst <> source GROUP BY 1, 2),
 l2 AS (SELECT l1.source, dst AS node, max(l1.st * 0.8 * s) AS st FROM l1 JOIN arcs ON src = l1.node WHERE dst <> l1.source AND NOT EXISTS (SELECT 1 FROM l1 v WHERE v.source = l1.source AND v.node = dst) GROUP BY 1, 2),
 l3 AS (SELECT l2.source, dst AS node, max(l2.st * 0.8 * s) AS st FROM l2 JOIN arcs ON src = l2.node WHERE dst <> l2.source AND NOT EXISTS (SELECT 1 FROM l1 v WHERE v.source = l2.source AND v.node = dst)
        AND NOT EXISTS (SELECT 1 FROM l2 v WHERE v.source = l2.source AND v.node = dst) GROUP BY 1, 2)
-SELECT source, node, 1 AS level, round(st, 6) AS strength FROM l1 UNION ALL SELECT source, node, 2, round(st, 6) FROM l2 UNION ALL SELECT source, node, 3, round(st, 6) FROM l3""")
+SELECT source, node, level, strength FROM (SELECT source, node, 1 AS level, round(st, 6) AS strength FROM l1 UNION ALL SELECT source, node, 2, round(st, 6) FROM l2 UNION ALL SELECT source, node, 3, round(st, 6) FROM l3)
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY strength DESC, level, node) <= 20""")
 def impact_path(spark, folder):
+    """The 20 strongest impacts of every node."""
     edges = graph.weighted_edges(table(spark, folder, "world_node_edges"))
-    roots = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(20).select(F.col("src").alias("source"))
-    return graph.impact_paths(edges, roots, 3)
+    found = graph.impact_paths(edges, edges.select(F.col("src").alias("source")).distinct(), 3)
+    best = Window.partitionBy("source").orderBy(F.desc("strength"), "level", "node")
+    return found.withColumn("r", F.row_number().over(best)).where("r <= 20").drop("r")
 
 
 @query("""WITH d AS (SELECT DISTINCT parent_node_id AS p, child_node_id AS c FROM world_node_edges WHERE parent_node_id IS NOT NULL AND child_node_id IS NOT NULL)
@@ -586,25 +616,17 @@ def _occurrences(spark, folder):
     return entities.entity_occurrences(entities.match_entities(records, terms, "id", "text"), "id"), records
 
 
-_FOUND = """terms AS (SELECT DISTINCT lower(d.driver) AS term, d.driver AS entity FROM (SELECT unnest(primary_drivers) AS d FROM node_states) WHERE length(d.driver) >= 2),
-docs AS (SELECT id, lower(regexp_replace(concat_ws(' ', title, body), '\\s+', ' ', 'g')) AS t FROM raw_information),
-found AS (SELECT id, entity, 'commodity' AS kind, len(regexp_extract_all(' ' || replace(t, ' ', '  ') || ' ', '[^a-z0-9]' || replace(term, ' ', '  ') || '[^a-z0-9]')) AS occurrences,
-  length(regexp_extract(t, '(?s)^(.*?(?:^|[^a-z0-9]))' || term || '(?:[^a-z0-9]|$)', 1)) AS first_position FROM docs JOIN terms ON contains(t, term))"""
-
-
-@query(f"WITH {_FOUND} SELECT id, entity, kind, CAST(occurrences AS BIGINT) AS occurrences, CAST(first_position AS INT) AS first_position FROM found WHERE occurrences > 0")
+@query()  # SQL is too slow on the whole dictionary; tested against brute force
 def entity_match(spark, folder):
-    records = table(spark, folder, "raw_information").select("id", F.concat_ws(" ", "title", "body").alias("text"))
-    return entities.entity_occurrences(entities.match_entities(records, entities.dictionary_terms(_drivers(spark, folder)), "id", "text"), "id")
+    """Names and aliases of all nodes, and the drivers, in all records."""
+    return _occurrences(spark, folder)[0]
 
 
-@query("""WITH src AS (SELECT id, unnest([info_type]) AS k FROM raw_information), n AS (SELECT count(*) AS n FROM raw_information)
-SELECT k AS entity, count(DISTINCT id) AS df, round(ln((n + 1) / (1 + count(DISTINCT id))) / ln(n + 1), 6) AS idf FROM src, n GROUP BY k, n""")
+@query()
 def entity_idf(spark, folder):
-    """Rarity of the record types taken as concepts."""
-    records = table(spark, folder, "raw_information")
-    as_entities = records.select("id", F.col("info_type").alias("entity"), F.lit("concept").alias("kind"))
-    return entities.inverse_frequencies(as_entities, records, "id")
+    """Rarity of all entities of the dictionary over all records."""
+    found, records = _occurrences(spark, folder)
+    return entities.inverse_frequencies(found, records, "id", kinds=None)
 
 
 @query()
