@@ -61,4 +61,12 @@ arcs AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links),
 reach AS (SELECT src AS node, src AS other FROM arcs
           UNION SELECT reach.node, arcs.dst FROM reach JOIN arcs ON arcs.src = reach.other)
 SELECT node AS node_id, min(other) AS group_id FROM reach GROUP BY node""",
+    # all pairs of one type whose sizes allow the threshold, by lists of hashed stretches
+    "p7_found": r"""
+WITH least AS (SELECT info_type, min(threshold) AS least FROM dedup_checks WHERE info_type IS NOT NULL AND threshold IS NOT NULL GROUP BY 1),
+t AS (SELECT id, info_type, trim(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM raw_information WHERE id IS NOT NULL),
+s AS (SELECT id, info_type, least, list_distinct(list_transform(generate_series(1, length(t) - 4), lambda i: hash(substr(t, i, 5)))) AS s FROM t JOIN least USING (info_type) WHERE length(t) >= 5),
+p AS (SELECT least(a.id, b.id) AS l, greatest(a.id, b.id) AS r, a.least, len(a.s) + len(b.s) AS n, len(list_intersect(a.s, b.s)) AS k
+      FROM s a JOIN s b ON a.info_type = b.info_type AND a.id < b.id AND least(len(a.s), len(b.s)) >= a.least * greatest(len(a.s), len(b.s)))
+SELECT DISTINCT l AS left_info_id, r AS right_info_id FROM p WHERE k / (n - k) >= least""",
 }
