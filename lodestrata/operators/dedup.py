@@ -32,7 +32,8 @@ def title_pairs(records: DataFrame, least: float = 0.5, kind: str = "info_type")
     """``(a, b, similarity)``: titles of one kind with a share of common character pairs, exact.
 
     Prefix filtering: the pairs of a title are ordered by rarity, and two titles that
-    reach the share agree on one of their rarest ones; only those are joined.  Equal
+    reach the share agree on one of their rarest ones, early enough in both; only
+    those are joined.  Equal
     titles are joined once, by the smallest id with that title.
     """
     titles = records.where("title is not null and title <> ''").groupBy(kind, F.lower("title").alias("t")).agg(F.min("id").alias("id"))
@@ -44,11 +45,16 @@ def title_pairs(records: DataFrame, least: float = 0.5, kind: str = "info_type")
     each = sets.select(kind, "id", F.explode("g").alias("x"))
     rare = each.groupBy(kind, "x").agg(F.count(F.lit(1)).alias("df"))
     ordered = each.join(rare, [kind, "x"]).groupBy(kind, "id").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
-    prefix = F.size("o") - F.ceil(F.size("o") * least).cast("int") + 1
-    keys = ws.save(ordered.select(kind, "id", F.size("o").alias("n"), F.explode(F.transform(F.slice("o", 1, prefix), lambda s: s["x"])).alias("x")), "prefixes")
-    a, b = keys.withColumnsRenamed({"id": "a", "n": "na"}), keys.withColumnsRenamed({"id": "b", "n": "nb"})
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    candidates = a.join(b, [kind, "x"]).where(near).select("a", "b").distinct()
+    size = F.size("o")
+    keys = ordered.select(kind, "id", size.alias("n"), F.posexplode(F.transform(F.slice("o", 1, size - F.ceil(size * least).cast("int") + 1), lambda s: s["x"])).alias("at", "x"))
+    keys = ws.save(keys, "prefixes")
+    # of the shorter title a shorter prefix suffices, and what follows the common pair must still be able to reach the share
+    index = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - 1e-9)
+    a, b = keys.withColumnsRenamed({"id": "a", "n": "na", "at": "ia"}), keys.where(index).withColumnsRenamed({"id": "b", "n": "nb", "at": "ib"})
+    longer = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    wanted = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    near = longer & (F.col("nb") >= least * F.col("na")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= wanted)
+    candidates = a.join(b, [kind, "x"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ga, gb = sets.select(F.col("id").alias("a"), F.col("g").alias("ga")), sets.select(F.col("id").alias("b"), F.col("g").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     scored = candidates.join(ga, "a").join(gb, "b").select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("s"))

@@ -21,12 +21,6 @@ def query_terms(spark, text: str) -> list[str]:
     return list(dict.fromkeys(spark.range(1).select(analyze(F.lit(text)).alias("t")).first()["t"]))
 
 
-def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index ``(term, key, tf, dl)``, to be written partitioned by term for repeated use."""
-    tokens = documents.select(F.col(key), analyze(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    return tokens.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
 _HAN = "[\\u4e00-\\u9fff]"
 #: What :func:`lodestrata.functions.text.analyze` makes of a text, as one pattern: words, pairs, signs that stand alone.
 _TERM = f"[a-z0-9]+|{_HAN}(?={_HAN})|(?<!{_HAN}){_HAN}(?!{_HAN})"

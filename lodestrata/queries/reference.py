@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scoring as sc
 from lodestrata.functions import text as tx
-from lodestrata.operators import audit, dedup, entities, graph, retrieval, temporal
+from lodestrata.operators import audit, dedup, entities, graph, index, retrieval, temporal
 from lodestrata.operators.hierarchy import normal_type
 from lodestrata.plans import search as search_plans
+from lodestrata.session import Workspace
 from lodestrata.sources.tables import table
 
 AS_OF = "2018-01-15 00:00:00"
@@ -54,6 +55,16 @@ def bm25_topk(spark, folder):
     return retrieval.top_k(_bm(spark, folder).select("doc_id", "score"), 20)
 
 
+@query(f"WITH {_TOKENS} SELECT doc_id, score FROM bm WHERE matched >= 1 ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_index_topk(spark, folder):
+    """The same through a stored index, which is built here from all documents in two batches."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    stored = index.TextIndex(spark, Workspace(spark, "index").path("bm25"), "doc_id", buckets=8)
+    for batch in (0, 1):
+        stored.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == batch), "text", batch)
+    return retrieval.top_k(stored.bm25(retrieval.query_terms(spark, QUERY)).select("doc_id", "score"), 20)
+
+
 @query(f"WITH {_TOKENS} SELECT doc_id, matched, score FROM bm WHERE matched >= 3")
 def bm25_min_should_match(spark, folder):
     return _bm(spark, folder, 0.7)
