@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scoring import evidence_confidence
+from lodestrata.functions.text import clean_name
 from lodestrata.operators.hierarchy import normal_type
 from lodestrata.session import Workspace
 
@@ -111,17 +112,22 @@ def edge_type(parent_type, child_type):
     return F.create_map(*pairs)[F.concat_ws(">", same(parent_type), same(child_type))]
 
 
-def containment_edges(nodes: DataFrame, least: int = 4) -> DataFrame:
-    """Edges between nodes of which one's name holds the other's, typed by the rule of their types.
+def containment_edges(nodes: DataFrame, least: int = 3) -> DataFrame:
+    """Edges between nodes of which one's cleaned name holds the other's, typed by the rule of their types.
 
-    Blocking by the words of the names replaces the comparison of all pairs: a name
-    that holds another as a whole word sequence shares the other's first word.
+    Blocking by stretches of three characters replaces the comparison of all pairs: a
+    name that holds another has all its stretches, so the shorter one waits under its
+    rarest only.  Names shorter than ``least`` (three or more) hold nothing.
     """
-    n = nodes.where("id is not null").select("id", "node_type", F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))).alias("n")).where(F.length("n") >= least)
-    words = F.split("n", " ")
-    longer = n.select(F.col("id").alias("child"), F.col("node_type").alias("ct"), F.col("n").alias("cn"), F.explode(F.array_distinct(words)).alias("w"))
-    shorter = n.select(F.col("id").alias("parent"), F.col("node_type").alias("pt"), F.col("n").alias("pn"), words[0].alias("w"))
-    hit = longer.join(shorter, "w").where((F.col("cn") != F.col("pn")) & F.concat(F.lit(" "), "cn", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("pn"), F.lit(" "))))
+    ws = Workspace(nodes.sparkSession, "containment")
+    named = nodes.where("id is not null and name is not null").select("id", "node_type", F.lower(clean_name(F.col("name"))).alias("n")).where(F.length("n") >= max(3, least))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") - 2), lambda i: F.substring(F.col("n"), i, F.lit(3))))
+    each = ws.save(named.select("id", "node_type", "n", F.explode(grams).alias("g")), "stretches")
+    counts = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rarest = each.join(counts, "g").groupBy("id", "node_type", "n").agg(F.min(F.struct("df", "g"))["g"].alias("g"))
+    longer = each.select(F.col("id").alias("child"), F.col("node_type").alias("ct"), F.col("n").alias("cn"), "g")
+    shorter = rarest.select(F.col("id").alias("parent"), F.col("node_type").alias("pt"), F.col("n").alias("pn"), "g")
+    hit = longer.join(shorter, "g").where((F.length("cn") > F.length("pn")) & F.col("cn").contains(F.col("pn")))
     typed = hit.withColumn("kind", F.coalesce(edge_type(F.col("ct"), F.col("pt")), edge_type(F.col("pt"), F.col("ct")))).where("kind is not null")
     return typed.select(F.col("parent").alias("parent_node_id"), F.col("child").alias("child_node_id"), F.col("kind").alias("relationship_type")).distinct()
 

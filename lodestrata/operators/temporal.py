@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.slices import SLICE, carried, slice_rows
+from lodestrata.session import Workspace
+
 
 def valid_at(rows: DataFrame, at: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:
     """Rows that hold at a time: ``start <= at < end``; a null end is open."""
@@ -35,11 +38,15 @@ def state_diff(states: DataFrame, a: str, b: str, items: str = "primary_drivers"
     return old.join(new, "node_id").select("node_id", "version_a", "version_b", F.sort_array(F.array_except("ib", "ia")).alias("added"), F.sort_array(F.array_except("ia", "ib")).alias("removed"))
 
 
-def version_gaps(states: DataFrame) -> DataFrame:
-    """``(node_id, version, next_version)`` where a following version number is missing."""
-    steps = states.select("node_id", "version").distinct()
-    w = Window.partitionBy("node_id").orderBy("version")
-    return steps.withColumn("next_version", F.lead("version").over(w)).where(F.col("next_version") > F.col("version") + 1)
+def version_gaps(states: DataFrame, slices: int | None = None) -> DataFrame:
+    """``(node_id, version, next_version)`` where a following version number is missing; ordered in range slices."""
+    ws = Workspace(states.sparkSession, "gaps")
+    steps = states.select("node_id", "version").where("node_id is not null and version is not null").distinct()
+    sliced = slice_rows(ws, steps, "node_id", ["version"], "steps", slices)
+    after = carried(sliced, "node_id", [F.min("version").alias("first1")], [lambda w: F.lead("first1").over(w).alias("_after")])
+    own = F.lead("version").over(Window.partitionBy(SLICE, "node_id").orderBy("version"))
+    rows = sliced.withColumn("_own", own).join(after, [SLICE, "node_id"], "left").withColumn("next_version", F.coalesce("_own", "_after"))
+    return rows.where(F.col("next_version") > F.col("version") + 1).select("node_id", "version", "next_version")
 
 
 def repair_chain(states: DataFrame, garbage) -> DataFrame:
@@ -58,12 +65,29 @@ def repair_chain(states: DataFrame, garbage) -> DataFrame:
     return ended.where("_keep").withColumn("effective_to", F.col("_end")).drop("_keep", "_run", "_end")
 
 
-def append_versions(changes: DataFrame, key: str, at: str, serial: str, carried: list[str]) -> DataFrame:
-    """Versions of a change log: number, start, end (next start), omitted fields carried forward."""
-    w = Window.partitionBy(key).orderBy(at, serial)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    fields = [F.last(c, ignorenulls=True).over(so_far).alias(c) for c in carried]
-    return changes.select(key, F.row_number().over(w).alias("version"), F.col(at).alias("effective_from"), F.lead(at).over(w).alias("effective_to"), *fields)
+def append_versions(changes: DataFrame, key: str, at: str, serial: str, carry: list[str], slices: int | None = None) -> DataFrame:
+    """Versions of a change log: number, start, end (next start), omitted fields carried forward.
+
+    Ordered in range slices, so a key may hold any share of the rows: what crosses a
+    slice's border is its number of rows, its first start and its last known fields.
+    Rows with null key are left out.
+    """
+    ws = Workspace(changes.sparkSession, "versions")
+    slim = changes.where(F.col(key).isNotNull()).select(key, at, serial, *carry)
+    sliced = slice_rows(ws, slim, key, [at, serial], "log", slices)
+    known = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(at, serial))).alias(f"k{i}") for i, c in enumerate(carry)]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    crossing = [lambda w: F.sum("n1").over(before(w)).alias("_n"), lambda w: F.lead("first1").over(w).alias("_next")]
+    crossing += [lambda w, i=i: F.last(f"k{i}", ignorenulls=True).over(before(w)).alias(f"_k{i}") for i in range(len(carry))]
+    border = carried(sliced, key, [F.count(F.lit(1)).alias("n1"), F.min(at).alias("first1"), *known], crossing)
+    w = Window.partitionBy(SLICE, key).orderBy(at, serial)
+    rows = sliced.withColumn("_own", F.row_number().over(w)).withColumn("_lead", F.lead(at).over(w))
+    for i, c in enumerate(carry):
+        rows = rows.withColumn(f"_c{i}", F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(border, [SLICE, key], "left")
+    fields = [F.coalesce(f"_c{i}", f"_k{i}").alias(c) for i, c in enumerate(carry)]
+    number = (F.col("_own") + F.coalesce("_n", F.lit(0))).cast("int").alias("version")
+    return rows.select(key, number, F.col(at).alias("effective_from"), F.coalesce("_lead", "_next").alias("effective_to"), *fields)
 
 
 def cumulative_union(rows: DataFrame, key: str, at: str, serial: str, items: str) -> DataFrame:

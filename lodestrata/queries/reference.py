@@ -259,13 +259,17 @@ def connected_components(spark, folder):
     return dedup.pair_groups(dedup.title_pairs(table(spark, folder, "raw_information")))
 
 
+def _clean_sql(c: str) -> str:
+    out = f"trim({c})"
+    cases = " ".join(f"WHEN ends_with({out}, '{e}') AND length({out}) > {len(e) + 1} THEN trim(left({out}, length({out}) - {len(e)}))" for e in tx.NAME_ENDINGS)
+    return f"lower(CASE {cases} ELSE {out} END)"
+
+
 def _norm_sql(c: str) -> str:
     out = c
     for w in tx.NOISE_WORDS:
         out = f"replace({out}, '{w}', '')"
-    out = f"trim({out})"
-    cases = " ".join(f"WHEN ends_with({out}, '{e}') AND length({out}) > {len(e) + 1} THEN trim(left({out}, length({out}) - {len(e)}))" for e in tx.NAME_ENDINGS)
-    return f"lower(CASE {cases} ELSE {out} END)"
+    return _clean_sql(out)
 
 
 @query()  # edit distances of DuckDB count bytes; tested against brute force
@@ -295,10 +299,11 @@ def title_classes(spark, folder):
     return dedup.title_classes(table(spark, folder, "raw_information"))
 
 
-@query("""WITH n AS (SELECT id, node_type, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS n FROM world_nodes WHERE length(n) >= 4),
-r AS (SELECT * FROM (VALUES """ + ", ".join(f"('{p}', '{c}', '{e}')" for (p, c), e in graph.EDGE_TYPES.items()) + """) v(p, c, e)),
+@query(f"""WITH n AS (SELECT id, node_type, {_clean_sql('name')} AS n FROM world_nodes WHERE length(n) >= 3),
+"""
+"""r AS (SELECT * FROM (VALUES """ + ", ".join(f"('{p}', '{c}', '{e}')" for (p, c), e in graph.EDGE_TYPES.items()) + """) v(p, c, e)),
 h AS (SELECT s.id AS parent, l.id AS child, CASE WHEN s.node_type = 'macro' THEN 'macro_theme' ELSE s.node_type END AS pt, CASE WHEN l.node_type = 'macro' THEN 'macro_theme' ELSE l.node_type END AS ct
-      FROM n l JOIN n s ON l.n <> s.n AND contains(' ' || l.n || ' ', ' ' || s.n || ' '))
+      FROM n l JOIN n s ON l.n <> s.n AND contains(l.n, s.n))
 SELECT DISTINCT parent AS parent_node_id, child AS child_node_id, coalesce(a.e, b.e) AS relationship_type
 FROM h LEFT JOIN r a ON a.p = ct AND a.c = pt LEFT JOIN r b ON b.p = pt AND b.c = ct WHERE coalesce(a.e, b.e) IS NOT NULL""")
 def containment_pairs(spark, folder):

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from lodestrata.operators import dedup, entities, retrieval
+from lodestrata.operators import dedup, entities, graph, retrieval, temporal
 
 
 def rows(df):
@@ -88,3 +88,27 @@ def test_entity_frequencies_of_all_kinds(spark):
     found = spark.createDataFrame([(1, "A", "company"), (2, "A", "company"), (1, "B", "region")], "id long, entity string, kind string")
     docs = spark.range(1, 4)
     assert rows(entities.inverse_frequencies(found, docs, "id", kinds=None)) == [("A", 2, round(math.log(4 / 3) / math.log(4), 6)), ("B", 1, 0.5)]
+
+
+def test_containment_of_any_stretch(spark):
+    nodes = [("s1", "半导体板块", "sector"), ("s2", "功率半导体", "sector"), ("c1", "steel", "company"), ("c2", "Bluesteelworks", "company"), ("x", "ab", "company"), ("y", None, "company")]
+    got = rows(graph.containment_edges(spark.createDataFrame(nodes, "id string, name string, node_type string")))
+    assert got == [("c1", "c2", "competes_in"), ("s1", "s2", "belongs_to")]
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_versions_in_slices(spark, slices):
+    rng = random.Random(3)
+    log = [("hot" if rng.random() < 0.6 else f"n{rng.randrange(5)}", rng.randrange(300), i, rng.choice([None, "a", "b"])) for i in range(300)]
+    got = rows(temporal.append_versions(spark.createDataFrame(log + [(None, 1, 1, "z")], "k string, at int, serial int, x string"), "k", "at", "serial", ["x"], slices).na.fill({"effective_to": -1, "x": "-"}))
+    want = []
+    for key in {r[0] for r in log}:
+        text, own = None, sorted(r for r in log if r[0] == key)
+        own.sort(key=lambda r: (r[1], r[2]))
+        for n, r in enumerate(own):
+            text = r[3] or text
+            want.append((key, n + 1, r[1], own[n + 1][1] if n + 1 < len(own) else -1, text or "-"))
+    assert got == sorted(want)
+    states = [("hot", v) for v in range(200) if v % 7] * 2 + [("one", 1), ("one", 2), (None, 9)]
+    gaps = rows(temporal.version_gaps(spark.createDataFrame(states, "node_id string, version int"), slices))
+    assert gaps == [("hot", v - 1, v + 1) for v in range(7, 199, 7)]
