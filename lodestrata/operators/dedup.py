@@ -163,29 +163,29 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
 def vector_links(vectors: DataFrame, least: float, key: str, vector: str, block: str, rows_per_block: int = 2000) -> DataFrame:
     """``(a, b)``: vectors of one block at a cosine similarity, exact.
 
-    The rows are cut into parts; each pair of parts is one task's matrix product,
-    and only the links leave it.  Rows are never joined pair by pair.
+    The rows of a block are cut into parts by its size; each pair of parts is one
+    task's matrix product, and only the links leave it.  Rows are never joined pair by
+    pair, small blocks are not copied.  Rows with a null block or vector have no links.
     """
-    unit = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(block).cast("string").alias("blk"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    parts = max(1, -(-unit.count() // rows_per_block))
-    placed = unit.withColumn("p", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    unit = vectors.where(F.col(vector).isNotNull() & F.col(block).isNotNull()).select(F.col(key).alias("k"), F.col(block).cast("string").alias("blk"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    sizes = unit.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("parts"))
+    placed = unit.join(sizes, "blk").withColumn("p", F.pmod(F.xxhash64("k"), "parts").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("k", "blk", "v", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
 
     def links(table: pa.Table) -> pa.Table:
-        k, blk, part = (table[c].to_numpy() for c in ("k", "blk", "p"))
+        k, part = (table[c].to_numpy() for c in ("k", "p"))
         v = np.array(table["v"].to_pylist(), np.float64)
         norm = np.sqrt((v * v).sum(1, keepdims=True))
         v = v / np.where(norm > 0, norm, 1)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        _, codes = np.unique(blk.astype(str), return_inverse=True)
-        near = (np.round(v[x] @ v[y].T, 9) >= least) & (codes[x][:, None] == codes[y][None, :]) & (k[x][:, None] != k[y][None, :])
+        near = (np.round(v[x] @ v[y].T, 9) >= least) & (k[x][:, None] != k[y][None, :])
         r, c = np.nonzero(near)
         a, b = k[x[r]], k[y[c]]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     kind = vectors.schema[key].dataType.simpleString()
-    return placed.groupBy("i", "j").applyInArrow(links, f"a {kind}, b {kind}").distinct()
+    return placed.groupBy("blk", "i", "j").applyInArrow(links, f"a {kind}, b {kind}").distinct()
 
 
 def vector_clusters(vectors: DataFrame, least: float = 0.78, key: str = "vec_id", vector: str = "embedding", block: str = "label") -> DataFrame:

@@ -26,7 +26,7 @@ def read_term_lists(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``term: a, b``; lines that start with # are comments: ``term, values``."""
     line = F.trim("value")
     rows = spark.read.text(path).where(~line.startswith("#") & line.contains(":"))
-    values = F.filter(F.transform(F.split(F.substring_index(line, ":", -1), ","), lambda x: F.trim(x)), lambda x: x != "")
+    values = F.filter(F.transform(F.split(F.substring(line, F.instr(line, ":") + 1, F.length(line)), ","), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select(F.trim(F.substring_index(line, ":", 1)).alias("term"), values.alias("values"))
 
 

@@ -16,8 +16,18 @@ def ingest(existing: DataFrame, incoming: DataFrame, order: str = "ingested_at")
     return fresh.join(existing.select("content_hash"), "content_hash", "left_anti")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
-    """Existing rows replaced by incoming ones with the same key, others added."""
+def upsert(existing: DataFrame, incoming: DataFrame, *keys: str, latest: str | None = None) -> DataFrame:
+    """Existing rows replaced by incoming ones with the same key, others added.
+
+    Of incoming rows with one key the one with the largest ``latest`` counts (null is
+    smallest), without that column any one of them.
+    """
+    if latest:
+        rest = [c for c in incoming.columns if c not in (*keys, latest)]
+        best = incoming.groupBy(*keys).agg(F.max_by(F.struct(latest, *rest), F.struct(latest)).alias("_m"))
+        incoming = best.select(*[c if c in keys else F.col(f"_m.{c}").alias(c) for c in incoming.columns])
+    else:
+        incoming = incoming.dropDuplicates(list(keys))
     return existing.join(incoming.select(*keys), list(keys), "left_anti").unionByName(incoming)
 
 

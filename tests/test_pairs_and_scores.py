@@ -112,3 +112,15 @@ def test_versions_in_slices(spark, slices):
     states = [("hot", v) for v in range(200) if v % 7] * 2 + [("one", 1), ("one", 2), (None, 9)]
     gaps = rows(temporal.version_gaps(spark.createDataFrame(states, "node_id string, version int"), slices))
     assert gaps == [("hot", v - 1, v + 1) for v in range(7, 199, 7)]
+
+
+def test_upsert_and_term_lists(spark, tmp_path):
+    from lodestrata.sources.readers import read_term_lists
+    from lodestrata.sources.sinks import upsert
+
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "k string, at int, v string")
+    new = spark.createDataFrame([("a", 2, "y"), ("a", 3, "z"), ("a", None, "n"), ("c", 1, "w")], "k string, at int, v string")
+    assert rows(upsert(old, new, "k", latest="at")) == [("a", 3, "z"), ("b", 1, "x"), ("c", 1, "w")]
+    assert upsert(old, new, "k").count() == 3
+    (tmp_path / "t.txt").write_text("# note: x\nratio: a:b, c\n")
+    assert rows(read_term_lists(spark, str(tmp_path / "t.txt"))) == [("ratio", ["a:b", "c"])]
