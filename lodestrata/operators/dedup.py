@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.text import content_hash, levenshtein_ratio, normalized_name
 from lodestrata.operators.components import both_ways, minimum_labels
-from lodestrata.session import Workspace
+from lodestrata.operators.pair_blocks import near_pairs
+from lodestrata.session import Workspace, parallelism
 
 
 def hash_mismatches(records: DataFrame) -> DataFrame:
@@ -28,37 +29,36 @@ def first_of_content(records: DataFrame) -> DataFrame:
     return records.where("content_hash is not null").groupBy("content_hash").agg(first, F.count(F.lit(1)).alias("n")).select("content_hash", F.col("m.id").alias("id"), "n")
 
 
-def title_pairs(records: DataFrame, least: float = 0.5, kind: str = "info_type") -> DataFrame:
-    """``(a, b, similarity)``: titles of one kind with a share of common character pairs, exact.
+def title_blocks(records: DataFrame, kind: str = "info_type", rows_per_block: int = 16000) -> DataFrame:
+    """``(kind, i, j, p, id, t)``: titles of at least two characters in parts of their kind, a copy for every pair of parts.
 
-    Prefix filtering: the pairs of a title are ordered by rarity, and two titles that
-    reach the share agree on one of their rarest ones, early enough in both; only
-    those are joined.  Equal
-    titles are joined once, by the smallest id with that title.
+    Equal titles are taken once, by the smallest id with that title.  A shorter title has
+    no character pair in common with another title.
     """
-    titles = records.where("title is not null and title <> ''").groupBy(kind, F.lower("title").alias("t")).agg(F.min("id").alias("id"))
-    n = F.length("t")
-    pairs = F.when(n < 2, F.array("t")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(2)))))
-    sets = titles.select(kind, "id", pairs.alias("g"))
-    ws = Workspace(records.sparkSession, "titles")
-    sets = ws.save(sets, "sets")
-    each = sets.select(kind, "id", F.explode("g").alias("x"))
-    rare = each.groupBy(kind, "x").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(rare, [kind, "x"]).groupBy(kind, "id").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
-    size = F.size("o")
-    keys = ordered.select(kind, "id", size.alias("n"), F.posexplode(F.transform(F.slice("o", 1, size - F.ceil(size * least).cast("int") + 1), lambda s: s["x"])).alias("at", "x"))
-    keys = ws.save(keys, "prefixes")
-    # of the shorter title a shorter prefix suffices, and what follows the common pair must still be able to reach the share
-    index = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - 1e-9)
-    a, b = keys.withColumnsRenamed({"id": "a", "n": "na", "at": "ia"}), keys.where(index).withColumnsRenamed({"id": "b", "n": "nb", "at": "ib"})
-    longer = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
-    wanted = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
-    near = longer & (F.col("nb") >= least * F.col("na")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= wanted)
-    candidates = a.join(b, [kind, "x"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ga, gb = sets.select(F.col("id").alias("a"), F.col("g").alias("ga")), sets.select(F.col("id").alias("b"), F.col("g").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    scored = candidates.join(ga, "a").join(gb, "b").select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("s"))
-    return scored.where(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("similarity"))
+    titled = records.where(F.col(kind).isNotNull() & (F.length("title") > 0)).select(F.col(kind).alias("kind"), F.lower("title").alias("t"), "id")
+    titles = titled.where(F.length("t") > 1).groupBy("kind", "t").agg(F.min("id").alias("id")).where("id is not null")
+    sizes = titles.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("parts"))
+    placed = titles.join(sizes, "kind").withColumn("p", F.pmod(F.xxhash64("t"), "parts").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("kind", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "t")
+    # the blocks of a large kind are many tasks, small kinds share one
+    parts = F.ceil(F.col("n") / rows_per_block)
+    work = titled.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.sum(parts * (parts + 1) / 2), F.sum((F.col("n") / rows_per_block) ** 2)).first()
+    tasks = min(int(work[1] or 1), max(parallelism(records.sparkSession), int(2 * (work[2] or 0))))
+    return placed.repartition(tasks, "kind", "i", "j")
+
+
+def title_pairs(records: DataFrame, least: float = 0.5, kind: str = "info_type", rows_per_block: int = 16000) -> DataFrame:
+    """``(a, b, similarity)``: titles of one kind with a share of common character pairs, exact (see :mod:`pair_blocks`).
+
+    Equal titles are compared once, by the smallest id with that title.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return near_pairs(batches, least)
+
+    id_ = records.schema["id"].dataType.simpleString()
+    found = title_blocks(records, kind, rows_per_block).groupBy("kind", "i", "j").applyInArrow(near, f"a {id_}, b {id_}, s double")
+    return found.select("a", "b", F.round("s", 6).alias("similarity"))
 
 
 def pair_groups(pairs: DataFrame) -> DataFrame:
