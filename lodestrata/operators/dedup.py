@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.text import content_hash, levenshtein_ratio, normalized_name
 from lodestrata.operators.components import both_ways, minimum_labels
-from lodestrata.operators.pair_blocks import near_pairs
+from lodestrata.operators.pair_blocks import grouped, near_pairs
 from lodestrata.session import Workspace, parallelism
 
 
@@ -29,22 +29,30 @@ def first_of_content(records: DataFrame) -> DataFrame:
     return records.where("content_hash is not null").groupBy("content_hash").agg(first, F.count(F.lit(1)).alias("n")).select("content_hash", F.col("m.id").alias("id"), "n")
 
 
-def title_blocks(records: DataFrame, kind: str = "info_type", rows_per_block: int = 16000) -> DataFrame:
-    """``(kind, i, j, p, id, t)``: titles of at least two characters in parts of their kind, a copy for every pair of parts.
+def title_parts(records: DataFrame, kind: str, rows_per_part: int) -> DataFrame:
+    """``(kind, parts, p, id, t)``: titles of at least two characters, each in one part of its kind.
 
     Equal titles are taken once, by the smallest id with that title.  A shorter title has
     no character pair in common with another title.
     """
     titled = records.where(F.col(kind).isNotNull() & (F.length("title") > 0)).select(F.col(kind).alias("kind"), F.lower("title").alias("t"), "id")
     titles = titled.where(F.length("t") > 1).groupBy("kind", "t").agg(F.min("id").alias("id")).where("id is not null")
-    sizes = titles.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("parts"))
-    placed = titles.join(sizes, "kind").withColumn("p", F.pmod(F.xxhash64("t"), "parts").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("kind", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "t")
-    # the blocks of a large kind are many tasks, small kinds share one
-    parts = F.ceil(F.col("n") / rows_per_block)
-    work = titled.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.sum(parts * (parts + 1) / 2), F.sum((F.col("n") / rows_per_block) ** 2)).first()
-    tasks = min(int(work[1] or 1), max(parallelism(records.sparkSession), int(2 * (work[2] or 0))))
-    return placed.repartition(tasks, "kind", "i", "j")
+    sizes = titles.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("int").alias("parts"))
+    return titles.join(sizes, "kind").select("kind", "parts", F.pmod(F.xxhash64("t"), "parts").cast("int").alias("p"), "id", "t")
+
+
+def _tasks(records: DataFrame, kind: str, rows_per_part: int) -> int:
+    """Number of partitions for the pairs of parts: those of a large kind are many tasks, small kinds share one."""
+    parts = F.ceil(F.col("n") / rows_per_part)
+    sizes = records.groupBy(kind).agg(F.count("title").alias("n"))
+    pairs, work = sizes.agg(F.sum(parts * (parts + 1) / 2), F.sum((F.col("n") / rows_per_part) ** 2)).first()
+    return max(1, min(int(pairs or 1), max(parallelism(records.sparkSession), int(2 * (work or 0)))))
+
+
+def _blocks(parts: DataFrame, others, *columns: str) -> DataFrame:
+    """Titles with the pairs of parts ``(i, j)`` that they are compared in; ``others`` are the parts that a title meets."""
+    met = parts.withColumn("o", F.explode(others))
+    return met.select("kind", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "t", *columns)
 
 
 def title_pairs(records: DataFrame, least: float = 0.5, kind: str = "info_type", rows_per_block: int = 16000) -> DataFrame:
@@ -57,10 +65,34 @@ def title_pairs(records: DataFrame, least: float = 0.5, kind: str = "info_type",
         return near_pairs(batches, least)
 
     id_ = records.schema["id"].dataType.simpleString()
-    found = title_blocks(records, kind, rows_per_block).groupBy("kind", "i", "j").applyInArrow(near, f"a {id_}, b {id_}, s double")
+    blocks = _blocks(title_parts(records, kind, rows_per_block), F.sequence(F.lit(0), F.col("parts") - 1))
+    blocks = blocks.repartition(_tasks(records, kind, rows_per_block), "kind", "i", "j")
+    found = blocks.groupBy("kind", "i", "j").applyInArrow(near, f"a {id_}, b {id_}, s double")
     return found.select("a", "b", F.round("s", 6).alias("similarity"))
 
 
+def title_groups(records: DataFrame, least: float = 0.5, kind: str = "info_type", rows_per_block: int = 16000) -> DataFrame:
+    """``(node, label)``: the groups of :func:`title_pairs`; label is the smallest id.
+
+    The pairs themselves are never written.  Parts are grouped first; then two parts need
+    only the pairs that link different groups, and give one row for each group they link.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return grouped(batches, least)
+
+    ws = Workspace(records.sparkSession, "title-groups")
+    id_, tasks = records.schema["id"].dataType.simpleString(), _tasks(records, kind, rows_per_block)
+    blocks = _blocks(title_parts(records, kind, rows_per_block), F.array("p"), "parts").repartition(tasks, "kind", "i", "j")
+    kind_ = records.schema[kind].dataType.simpleString()
+    parts = ws.save(blocks.groupBy("kind", "i", "j").applyInArrow(links, f"kind {kind_}, p int, id {id_}, t string, parts int, top {id_}"), "parts")
+    blocks = _blocks(parts, F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("p")), "top").repartition(tasks, "kind", "i", "j")
+    across = blocks.groupBy("kind", "i", "j").applyInArrow(links, f"id {id_}, top {id_}")
+    arcs = ws.save(both_ways(parts.select("id", "top").unionByName(across).select(F.col("id").alias("src"), F.col("top").alias("dst"))), "arcs")
+    ws.free(parts)
+    return minimum_labels(ws, arcs)
+
+
 def pair_groups(pairs: DataFrame) -> DataFrame:
     """``(node, label)`` groups of ``(a, b)`` pairs; label is the smallest id."""
     ws = Workspace(pairs.sparkSession, "pair-groups")

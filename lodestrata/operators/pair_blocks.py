@@ -124,3 +124,57 @@ def near_pairs(batches: Iterator[pa.RecordBatch], least: float, **sizes: int) ->
         for at in range(0, len(a), CHUNK):
             part = slice(at, at + CHUNK)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[part])), ids.take(pa.array(b[part])), pa.array(s[part])], ["a", "b", "s"])
+
+
+class Forest:
+    """Labels of rows, from 0 below ``kinds``; rows that are united get the smallest of theirs."""
+
+    def __init__(self, labels: np.ndarray, kinds: int):
+        self.label, self.up = labels, np.arange(kinds)
+
+    def unite(self, u: np.ndarray, v: np.ndarray) -> None:
+        while len(u):
+            a, b = self.label[u], self.label[v]
+            apart = a != b
+            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(self.up, above := self.up[self.up]):
+                self.up = above
+            self.label = self.up[self.label]
+
+    def one(self, *rows: np.ndarray) -> bool:
+        """Whether all rows have one label."""
+        return all((self.label[x] == self.label[rows[0][0]]).all() for x in rows)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], least: float, large: int = TILE // 4, **sizes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a block with ``top``, one id for all that a chain of pairs links.
+
+    Rows of a part with itself begin alone, and come out with the smallest such id.  Of
+    two parts, rows begin with the ``top`` they have, and each ``top`` that is united with
+    another comes out as ``(id, top)``.  Pairs whose rows are linked already are not
+    counted, tiles of rows that all are linked not multiplied.
+    """
+    block = pa.Table.from_batches(list(batches))
+    inner = block["i"][0].as_py() == block["j"][0].as_py()
+    tops = block["id" if inner else "top"].combine_chunks()
+    names = pc.unique(tops)
+    names = names.take(pc.array_sort_indices(names))
+    begin = pc.index_in(tops, names).to_numpy().astype(np.int64)
+    size = np.bincount(begin)[begin]
+    big = size >= large
+    texts = PairTexts(block["t"].to_pylist(), lambda n: np.lexsort((n, np.where(big, begin, 0), np.where(big, -size, 0))), **sizes)
+    forest = Forest(begin[texts.order], len(names))
+    for r, c in texts.tiles(left_part(block, texts), least, forest.one):
+        apart = forest.label[r] != forest.label[c]
+        r, c = r[apart], c[apart]
+        for at in range(0, len(r), CHUNK):
+            part = slice(at, at + CHUNK)
+            a, b = r[part], c[part]
+            apart = forest.label[a] != forest.label[b]
+            forest.unite(*texts.near(a[apart], b[apart], least)[:2])
+    if inner:
+        yield from block.append_column("top", names.take(pa.array(forest.up[begin]))).drop_columns(["i", "j"]).combine_chunks().to_batches()
+    else:
+        moved = np.flatnonzero(forest.up != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(forest.up[moved]))], ["id", "top"])

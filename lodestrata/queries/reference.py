@@ -256,7 +256,7 @@ def title_bigram_dedup(spark, folder):
 reach AS (SELECT a AS node, a AS other FROM arcs UNION SELECT reach.node, arcs.b FROM reach JOIN arcs ON arcs.a = reach.other)
 SELECT node, min(other) AS label FROM reach GROUP BY node""")
 def connected_components(spark, folder):
-    return dedup.pair_groups(dedup.title_pairs(table(spark, folder, "raw_information")))
+    return dedup.title_groups(table(spark, folder, "raw_information"))
 
 
 def _clean_sql(c: str) -> str:

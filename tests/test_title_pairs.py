@@ -65,3 +65,29 @@ def test_common_pairs_beyond_the_bits(titles):
         assert p.common(r, c).tolist() == [len(grams(texts[p.order[i]]) & grams(texts[p.order[j]])) for i, j in zip(r, c)]
         found = {pair for a, b in p.tiles(None, 0.5, tile=17) for pair in zip(*map(np.ndarray.tolist, p.near(a, b, 0.5)[:2]))}
         assert found == {(i, j) for i, j in zip(r.tolist(), c.tolist()) if i > j and len(grams(texts[p.order[i]]) & grams(texts[p.order[j]])) >= 0.5 * len(grams(texts[p.order[i]]) | grams(texts[p.order[j]]))}
+
+
+@pytest.mark.parametrize("least, per_block", [(0.5, 16000), (0.7, 16000), (0.7, 23)])
+def test_title_groups_write_no_pairs(spark, titles, least, per_block):
+    # and a crowd: every two of these titles are a pair
+    crowd = [(f"c{i:03d}", "crowd", f"the same long title of a report, number {i}") for i in range(300)]
+    up = {}
+    root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
+    for a, b, _ in brute_force(titles + crowd, least):
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted((x, root(x)) for x in up)
+    records = spark.createDataFrame(titles + crowd, "id string, info_type string, title string")
+    assert len({g for _, g in want}) > 5 and rows(dedup.title_groups(records, least, rows_per_block=per_block)) == want
+    assert dedup.title_groups(records.limit(0)).count() == 0
+    assert sum(r[1] == "c000" for r in want) == 300
+
+
+def test_connected_components_never_reads_more_links_than_titles(spark, titles, tmp_path, monkeypatch):
+    from lodestrata.queries import reference
+
+    crowd = [(f"c{i:03d}", "crowd", f"the same long title of a report, number {i}") for i in range(300)]
+    spark.createDataFrame(crowd, "id string, info_type string, title string").write.parquet(str(tmp_path / "raw_information.parquet"))
+    seen = []
+    monkeypatch.setattr(dedup, "minimum_labels", lambda ws, arcs: seen.append(arcs.count()) or arcs)
+    reference.connected_components(spark, str(tmp_path))
+    assert seen and 0 < seen[0] <= 2 * len(crowd)
