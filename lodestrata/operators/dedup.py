@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.text import content_hash, levenshtein_ratio, normalized_name
 from lodestrata.operators.components import both_ways, minimum_labels
-from lodestrata.operators.pair_blocks import grouped, near_pairs
+from lodestrata.operators.pair_blocks import grouped, near_pairs, near_sequences
 from lodestrata.session import Workspace, parallelism
 
 
@@ -29,6 +29,12 @@ def first_of_content(records: DataFrame) -> DataFrame:
     return records.where("content_hash is not null").groupBy("content_hash").agg(first, F.count(F.lit(1)).alias("n")).select("content_hash", F.col("m.id").alias("id"), "n")
 
 
+def _parts(texts: DataFrame, rows_per_part: int) -> DataFrame:
+    """``(kind, parts, p, id, t)``: the rows ``kind, t, id``, each in one part of its kind."""
+    sizes = texts.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("int").alias("parts"))
+    return texts.join(sizes, "kind").select("kind", "parts", F.pmod(F.xxhash64("t"), "parts").cast("int").alias("p"), "id", "t")
+
+
 def title_parts(records: DataFrame, kind: str, rows_per_part: int) -> DataFrame:
     """``(kind, parts, p, id, t)``: titles of at least two characters, each in one part of its kind.
 
@@ -36,15 +42,13 @@ def title_parts(records: DataFrame, kind: str, rows_per_part: int) -> DataFrame:
     no character pair in common with another title.
     """
     titled = records.where(F.col(kind).isNotNull() & (F.length("title") > 0)).select(F.col(kind).alias("kind"), F.lower("title").alias("t"), "id")
-    titles = titled.where(F.length("t") > 1).groupBy("kind", "t").agg(F.min("id").alias("id")).where("id is not null")
-    sizes = titles.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("int").alias("parts"))
-    return titles.join(sizes, "kind").select("kind", "parts", F.pmod(F.xxhash64("t"), "parts").cast("int").alias("p"), "id", "t")
+    return _parts(titled.where(F.length("t") > 1).groupBy("kind", "t").agg(F.min("id").alias("id")).where("id is not null"), rows_per_part)
 
 
-def _tasks(records: DataFrame, kind: str, rows_per_part: int) -> int:
+def _tasks(records: DataFrame, kind: str, rows_per_part: int, text: str = "title") -> int:
     """Number of partitions for the pairs of parts: those of a large kind are many tasks, small kinds share one."""
     parts = F.ceil(F.col("n") / rows_per_part)
-    sizes = records.groupBy(kind).agg(F.count("title").alias("n"))
+    sizes = records.groupBy(kind).agg(F.count(text).alias("n"))
     pairs, work = sizes.agg(F.sum(parts * (parts + 1) / 2), F.sum((F.col("n") / rows_per_part) ** 2)).first()
     return max(1, min(int(pairs or 1), max(parallelism(records.sparkSession), int(2 * (work or 0)))))
 
@@ -158,19 +162,23 @@ def levenshtein_pairs(nodes: DataFrame, least: float = 0.85) -> DataFrame:
     return scored.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.round("r", 6).alias("ratio")).distinct()
 
 
-def sequence_ratio_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+def sequence_ratio_pairs(nodes: DataFrame, least: float = 0.8, rows_per_block: int = 8000) -> DataFrame:
     """``(a, b, ratio)``: names of one type by their matching blocks, exact; classes as in :func:`levenshtein_pairs`.
 
-    Blocks of ``m`` letters give ``2m / (la + lb)``, so a pair that reaches the ratio
-    has at most ``(1 - least) * (la + lb)`` letters outside, each an edit.  The ratio
-    depends on the order of the two names; the larger one counts.
+    Blocks of ``m`` letters give ``2m / (la + lb)``, so a pair that reaches the ratio has
+    as many letters in common; those pairs are found in blocks (see :mod:`pair_blocks`).
+    The ratio depends on the order of the two names; the larger one counts.
     """
-    edits = lambda la, lb: F.floor((1 - least) * (la + lb) + 1e-9).cast("int")
-    found = _piece_pairs(name_blocks(nodes), lambda la: F.floor(la * (2 - least) / least + 1e-9).cast("int"), edits)
-    pair = found.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "x", "y").distinct()
-    there = sequence_ratio(pair, "x", "y", least).select("a", "b", "ratio")
-    back = sequence_ratio(pair, "y", "x", least).select("a", "b", "ratio")
-    return there.unionByName(back).groupBy("a", "b").agg(F.round(F.max("ratio"), 6).alias("ratio"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return near_sequences(batches, least)
+
+    id_ = nodes.schema["id"].dataType.simpleString()
+    names = name_blocks(nodes).where(F.col("node_type").isNotNull() & (F.length("n") > 1)).select(F.col("node_type").alias("kind"), F.col("n").alias("t"), "id")
+    blocks = _blocks(_parts(names, rows_per_block), F.sequence(F.lit(0), F.col("parts") - 1))
+    blocks = blocks.repartition(_tasks(nodes, "node_type", rows_per_block, "name"), "kind", "i", "j")
+    found = blocks.groupBy("kind", "i", "j").applyInArrow(near, f"a {id_}, b {id_}, s double")
+    return found.groupBy("a", "b").agg(F.round(F.max("s"), 6).alias("ratio"))
 
 
 def same_key_pairs(rows: DataFrame, key, id_: str = "id") -> DataFrame:

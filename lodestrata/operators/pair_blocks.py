@@ -1,9 +1,9 @@
-"""Texts by their share of common character pairs: exact, by matrix products of blocks.
+"""Texts by their share of common character pairs or letters: exact, by matrix products of blocks.
 
 Every text is a row of counts over a few hundred columns: frequent character pairs have
 a column of their own, the others share some.  The product of two rows is at least the
 number of their common pairs, so all that reach the share pass it, and the few that pass
-are counted exactly.  Texts are never joined pair by pair: a block of two parts is one
+are counted exactly.  So it is with letters, where matching blocks are sought.  Texts are never joined pair by pair: a block of two parts is one
 task, and only its result leaves it.
 """
 
@@ -15,28 +15,51 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lodestrata.functions.matching_blocks import best_ratios
+
 #: Columns of the product, rows of one product, character pairs with a bit of their own, pairs counted at once.
 COLUMNS, TILE, BITS, CHUNK = 256, 2048, 1 << 14, 1 << 13
 
 
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Every code point of the texts and the text that it is of."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), np.repeat(np.arange(len(texts)), length)
+
+
+def character_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, mark)``: the distinct character pairs of texts of at least two characters."""
+    codes, row = _letters(texts)
+    within = row[1:] == row[:-1]
+    _, pair = np.unique((codes[:-1] << 21 | codes[1:])[within], return_inverse=True)
+    kinds = int(pair.max()) + 1
+    both = np.unique(row[1:][within] * kinds + pair)
+    return both // kinds, both % kinds
+
+
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, mark)``: the letters of each text, the second of a kind another mark than the first, so that marks in common count letters."""
+    codes, row = _letters(texts)
+    key = np.sort(row << 21 | codes)
+    at = np.arange(len(key))
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    which = at - np.maximum.accumulate(np.where(new, at, 0))
+    _, mark = np.unique((key & (1 << 21) - 1) << 32 | which, return_inverse=True)
+    return key >> 21, mark
+
+
 class PairTexts:
-    """The distinct character pairs of texts of at least two characters, by rows in a given order."""
-
-    def __init__(self, texts: list[str], order=None, columns: int = COLUMNS, bits: int = BITS):
-        length = np.fromiter(map(len, texts), np.int64, len(texts))
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        row = np.repeat(np.arange(len(texts)), length)
-        within = row[1:] == row[:-1]
-        _, pair = np.unique((codes[:-1] << 21 | codes[1:])[within], return_inverse=True)
+    """The marks of texts, character pairs or letters, by rows in a given order."""
+
+    def __init__(self, texts: list[str], order=None, marks=character_pairs, columns: int = COLUMNS, bits: int = BITS):
+        row, pair = marks(texts)
         kinds = int(pair.max()) + 1
-        both = np.unique(row[1:][within] * kinds + pair)
-        row, pair = both // kinds, both % kinds
         seen = np.bincount(pair)
         rank = np.empty(kinds, np.int64)
         rank[np.argsort(-seen, kind="stable")] = np.arange(kinds)
         pair, seen = rank[pair], np.sort(seen)[::-1]
         n = np.bincount(row, minlength=len(texts))
-        #: Position of each row in ``texts``, by number of pairs or as given.
+        #: Position of each row in ``texts``, by number of marks or as given.
         self.order = np.argsort(n, kind="stable") if order is None else order(n)
         place = np.empty_like(self.order)
         place[self.order] = np.arange(len(texts))
@@ -54,7 +77,7 @@ class PairTexts:
         self.starts = np.searchsorted(self.rest, np.arange(len(texts) + 1) * kinds)
 
     def common(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Number of common pairs of rows ``r`` and ``c``."""
+        """Number of common marks of rows ``r`` and ``c``."""
         out = np.empty(len(r), np.int64)
         for at in range(0, len(r), CHUNK):
             part = slice(at, at + CHUNK)
@@ -68,14 +91,15 @@ class PairTexts:
             out += np.bincount(which[found], minlength=len(r))
         return out
 
-    def tiles(self, left: np.ndarray | None, least: float, skip=None, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def tiles(self, left: np.ndarray | None, share: float, skip=None, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Candidates ``(r, c)``, a tile at a time: rows with ``left`` against the others, without it all against all, once each.
 
-        A tile whose numbers of pairs are too far apart, or that ``skip`` names, is not multiplied.
+        Candidates may have ``share`` of the sum of their marks in common.  A tile whose
+        numbers of marks are too far apart, or that ``skip`` names, is not multiplied.
         """
         inner = left is None
         x, y = (np.arange(len(self.n)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
-        share = least / (1 + least)
+        least = share / (1 - share)
         slack = 0.01 + 1e-5 * float(self.n.max())
         end = lambda rows, own: np.column_stack((self.counts[rows], *((-share * self.n[rows], np.ones(len(rows))) if own else (np.ones(len(rows)), -share * self.n[rows])))).astype(np.float32)
         ends = [end(y[j : j + tile], False).T for j in range(0, len(y), tile)]
@@ -112,12 +136,36 @@ def near_pairs(batches: Iterator[pa.RecordBatch], least: float, **sizes: int) ->
     """``(a, b, s)`` of one block of rows ``id, t, p, i, j``: part ``i`` against part ``j``, ``a`` smaller than ``b``."""
     block = pa.Table.from_batches(list(batches))
     texts = PairTexts(block["t"].to_pylist(), **sizes)
+    found = (texts.near(r, c, least) for r, c in texts.tiles(left_part(block, texts), least / (1 + least)))
+    yield from _rows(block, texts, found)
+
+
+def near_sequences(batches: Iterator[pa.RecordBatch], least: float, **sizes: int) -> Iterator[pa.RecordBatch]:
+    """As :func:`near_pairs`, with the ratio of matching blocks in the better order of two texts.
+
+    A ratio of ``m`` letters needs as many in common, wherever they stand.
+    """
+    block = pa.Table.from_batches(list(batches))
+    plain = block["t"].to_pylist()
+    texts = PairTexts(plain, marks=letters, **sizes)
+    plain = [plain[x] for x in texts.order]
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for r, c in texts.tiles(left_part(block, texts), least / 2):
+            some = 2 * texts.common(r, c) >= least * (texts.n[r] + texts.n[c]) - 1e-9
+            r, c = r[some], c[some]
+            s = best_ratios(plain, r, c, least)
+            yield r[s >= least], c[s >= least], s[s >= least]
+
+    yield from _rows(block, texts, found())
+
+
+def _rows(block: pa.Table, texts: PairTexts, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     ids = block["id"].combine_chunks().take(pa.array(texts.order))
     rank = np.empty(len(ids), np.int64)
     rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
     first = block["id"].combine_chunks().dictionary_encode().indices.to_numpy()[texts.order]
-    for r, c in texts.tiles(left_part(block, texts), least):
-        r, c, s = texts.near(r, c, least)
+    for r, c, s in found:
         other = first[r] != first[c]
         r, c, s = r[other], c[other], s[other]
         a, b = np.where(rank[r] < rank[c], r, c), np.where(rank[r] < rank[c], c, r)
@@ -165,7 +213,7 @@ def grouped(batches: Iterator[pa.RecordBatch], least: float, large: int = TILE /
     big = size >= large
     texts = PairTexts(block["t"].to_pylist(), lambda n: np.lexsort((n, np.where(big, begin, 0), np.where(big, -size, 0))), **sizes)
     forest = Forest(begin[texts.order], len(names))
-    for r, c in texts.tiles(left_part(block, texts), least, forest.one):
+    for r, c in texts.tiles(left_part(block, texts), least / (1 + least), forest.one):
         apart = forest.label[r] != forest.label[c]
         r, c = r[apart], c[apart]
         for at in range(0, len(r), CHUNK):

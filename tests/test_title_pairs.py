@@ -63,7 +63,7 @@ def test_common_pairs_beyond_the_bits(titles):
         r, c = (x.ravel() for x in np.indices((len(texts), len(texts))))
         r, c = r[r != c], c[r != c]
         assert p.common(r, c).tolist() == [len(grams(texts[p.order[i]]) & grams(texts[p.order[j]])) for i, j in zip(r, c)]
-        found = {pair for a, b in p.tiles(None, 0.5, tile=17) for pair in zip(*map(np.ndarray.tolist, p.near(a, b, 0.5)[:2]))}
+        found = {pair for a, b in p.tiles(None, 1 / 3, tile=17) for pair in zip(*map(np.ndarray.tolist, p.near(a, b, 0.5)[:2]))}
         assert found == {(i, j) for i, j in zip(r.tolist(), c.tolist()) if i > j and len(grams(texts[p.order[i]]) & grams(texts[p.order[j]])) >= 0.5 * len(grams(texts[p.order[i]]) | grams(texts[p.order[j]]))}
 
 
